@@ -85,9 +85,15 @@ def implied_vol_udf(low: float = 0.01, high: float = 5.0, slack: float = 0.01, s
     def solve(price, spot, strike, years, rate, is_call):  # noqa: ANN001
         import numpy as np
         import pandas as pd
-        from math import erf
 
-        cdf = np.vectorize(lambda v: 0.5 * (1.0 + erf(v / 1.4142135623730951)), otypes=[float])
+        def cdf(x):
+            k = 1.0 / (1.0 + CDF_P * np.abs(x))
+            poly = np.zeros_like(k)
+            for b in reversed(CDF_B):
+                poly = (poly + b) * k
+            tail = np.exp(-x * x / 2.0) / np.sqrt(2.0 * np.pi) * poly
+            return np.where(x >= 0, 1.0 - tail, tail)
+
         p, s, k, t, r = (np.asarray(c, dtype=float) for c in (price, spot, strike, years, rate))
         sign = np.where(np.asarray(is_call, dtype=bool), 1.0, -1.0)
         with np.errstate(all="ignore"):
@@ -107,7 +113,7 @@ def implied_vol_udf(low: float = 0.01, high: float = 5.0, slack: float = 0.01, s
                 mid = (lo + hi) / 2.0
                 under = gap(mid) < 0
                 lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
-        return pd.Series(np.where(ok, (lo + hi) / 2.0, np.nan)).where(ok, None).astype(float)
+        return pd.Series(np.where(ok, (lo + hi) / 2.0, np.nan))
 
     return solve
 

@@ -57,18 +57,14 @@ def first_touch(
     slots = F.array_distinct(F.array_compact(F.array("_b0", "_b1", "_f", *[f"_h_{n}" for n, _, _ in levels])))
     near = picks.withColumn("_s", F.explode(slots)).drop("_b0", "_b1", "_f", *[f"_h_{n}" for n, _, _ in levels])
     rows = near.join(points, [*on, "_s"], "inner").where((F.col("_t") > F.col("_a")) & (F.col("_t") <= F.col("_z")))
-    point = F.struct(F.col("_t").alias("t"), F.col("_v").alias("v"))
-    touched = rows.groupBy(*key).agg(
-        *[
-            F.min(F.when(F.col("_v") >= F.col(f"_lv_{n}") if op == ">=" else F.col("_v") <= F.col(f"_lv_{n}"), point)).alias(f"_x_{n}")
-            for n, op, _ in levels
-        ],
-        F.max(point).alias("_last"),
-    )
-    return touched.select(
-        *key,
-        *[c for n, _, _ in levels for c in (F.col(f"_x_{n}.t").alias(f"{n}_t"), F.col(f"_x_{n}.v").alias(f"{n}_v"))],
-        F.col("_last.t").alias("last_t"), F.col("_last.v").alias("last_v"),
+    def at(name: str, op: str) -> Column:
+        level = F.col(f"_lv_{name}")
+        return F.when(F.col("_v") >= level if op == ">=" else F.col("_v") <= level, F.col("_t"))
+
+    # times and values are fixed-width buffers, so this stays a hash aggregate
+    return rows.groupBy(*key).agg(
+        *[c for n, op, _ in levels for c in (F.min(at(n, op)).alias(f"{n}_t"), F.min_by("_v", at(n, op)).alias(f"{n}_v"))],
+        F.max("_t").alias("last_t"), F.max_by("_v", "_t").alias("last_v"),
     )
 
 

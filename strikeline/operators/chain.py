@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strikeline.functions.bsm import bs_greeks
 from strikeline.functions.scalar import div, div_pos, side_of
-from strikeline.operators.nearest import closest_bucket, nearest_per_target
+from strikeline.operators.nearest import closest_bucket
 
 SIDES = ("call", "put")
 
@@ -180,9 +180,6 @@ def iv_surface(contracts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     valid = (F.col("iv") > 0.01) & (F.col("iv") < 5.0)
 
-    def pick(side: str, targets: dict[str, float], tol: float) -> DataFrame:
-        return nearest_per_target(contracts, keys, "delta", targets, ["iv"], valid & (F.col("right") == side), ["strike"], tol)
-
     aggs = []
     for side, name, target in (
         ("call", "atm_call", 0.50), ("put", "atm_put", -0.50), ("call", "c25", 0.25),
