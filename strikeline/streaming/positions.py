@@ -1,0 +1,98 @@
+"""Monitor of open positions over a stream of debits."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from strikeline.operators.barrier import ratchet_tiers
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Exit rules of a session."""
+
+    stop: float = 2.0
+    take: float = 0.25
+    close_minute: int = 900
+    combined_loss: float = 1e9
+    daily_loss: float = 1e9
+    ratchet: bool = True
+
+
+OUTPUT = "position_id long, exit_time timestamp, exit_reason string, credit double, exit_debit double, pnl double"
+STATE = "book string"
+
+
+def _locked(rule_tiers: list[tuple[float, float]], credit: float, best: float) -> float | None:
+    floor = None
+    for act, lock in rule_tiers:
+        if best <= round(credit * (1.0 - act), 2):
+            floor = round(credit * (1.0 - lock), 2)
+    return floor
+
+
+def advance(book: dict, time, debit: float, opens: int | None, rules: Rules) -> list[tuple]:  # noqa: ANN001
+    """One quote: close what has to close, then open a position if the quote asks for it."""
+    exits = []
+    tiers = ratchet_tiers() if rules.ratchet else []
+    late = time.hour * 60 + time.minute >= rules.close_minute
+    book["open"], before = [], book["open"]
+    for p in before:
+        p["best"] = min(p["best"], debit)
+        floor = _locked(tiers, p["credit"], p["best"])
+        if debit >= p["credit"] * rules.stop:
+            reason = "sl"
+        elif debit <= p["credit"] * (1.0 - rules.take):
+            reason = "tp"
+        elif floor is not None and debit >= floor:
+            reason = "lock"
+        elif late:
+            reason = "time"
+        else:
+            book["open"].append(p)
+            continue
+        exits.append((p["id"], time, reason, p["credit"], debit))
+    loss = sum(p["credit"] - debit for p in book["open"])
+    if len(book["open"]) >= 2 and loss <= -rules.combined_loss:
+        exits += [(p["id"], time, "combined_stop", p["credit"], debit) for p in book["open"]]
+        book["open"] = []
+    book["realised"] += sum(c - x for _, _, _, c, x in exits)
+    if opens is not None and not late and book["realised"] > -rules.daily_loss and debit > 0:
+        book["open"].append({"id": opens, "credit": debit, "best": debit})
+    return exits
+
+
+def monitor(stream: DataFrame, keys: Sequence[str], time: str, debit: str, opens: str, rules: Rules = Rules()) -> DataFrame:
+    """Exit events of all positions of a session.
+
+    Rows carry the session keys, a time, the current debit and, where a position
+    is opened at that quote, its id. State is a session's open positions only, and
+    is dropped when event time passes the end of the day. Feed bars, not ticks, so
+    that a session is bounded by its minutes.
+    """
+    setup = asdict(rules)
+
+    def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        book = json.loads(state.get[0]) if state.exists else {"open": [], "realised": 0.0}
+        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        done = []
+        for t, v, o in zip(rows[time], rows[debit], rows[opens]):
+            done += advance(book, t, float(v), None if pd.isna(o) else int(o), Rules(**setup))
+        state.update((json.dumps(book),))
+        state.setTimeoutTimestamp(int(rows[time].max().normalize().timestamp() * 1000) + 86_400_000)
+        out = pd.DataFrame(done, columns=["position_id", "exit_time", "exit_reason", "credit", "exit_debit"])
+        out["pnl"] = out["credit"] - out["exit_debit"]
+        yield out
+
+    cols = stream.select(*keys, time, debit, opens)
+    return cols.groupBy(*keys).applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
