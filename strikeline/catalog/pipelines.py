@@ -129,3 +129,64 @@ def _(spark, d):
     )
     med = exact_quantiles(o, ["strategy", "tp"], "minutes", [0.5]).select("strategy", "tp", F.col("quantiles")[0].alias("median_minutes"))
     return table.join(med, ["strategy", "tp"])
+
+
+def training_inputs(spark, d):
+    """All inputs of a training table, derived from the driver tables."""
+    from strikeline.operators import indicators as ind
+    from strikeline.operators.runs import run_of_state
+    from strikeline.plans import daily as dl
+    from strikeline.plans.training import Inputs
+
+    s = settle(state(spark, d), "state")
+    bars = base.index_bars(spark, d)
+    ts = base.term_structure(spark, d)
+    # daily closes are moved onto the session calendar so that lags have dates to meet
+    closes = base.closes(spark, d)
+    first = closes.agg(F.min("date").alias("_f")).withColumn("_k", F.lit(1))
+    shifted = closes.withColumn("_k", F.lit(1)).join(first, "_k").withColumn("date", F.date_add(F.lit("2022-06-01").cast("date"), F.datediff("date", "_f"))).drop("_f", "_k")
+    w = ind.by([], "date")
+    regime = run_of_state(
+        shifted.select("date", (F.col("vix") > 20).cast("long").alias("regime_state"), (F.col("vix") / 40.0).alias("regime_prob_highvol")), "regime_state", w, "regime_duration", "regime_switch"
+    )
+    events = shifted.where(F.col("fomc") == 1).select("date", F.lit("FOMC").alias("event")).unionByName(
+        shifted.where(F.col("vix") > 24).select("date", F.lit("CPI").alias("event"))
+    )
+    cross = ind.cross_asset(shifted.select("date", "spy", "qqq", "iwm", "eem", "tlt"), []).drop("spy", "qqq", "iwm", "eem", "tlt")
+    macro = ind.macro(shifted.select("date", *[c for c in ind.MACRO if c != "yield_spread_2y10y"]), [])
+    oi, term = dl.oi_daily(base.open_interest(spark, d)), dl.term_structure_daily(ts)
+    return Inputs(
+        spine=settle(build_spine(s), "spine"), state=s, bars=bars["spx"], vix_bars=bars["vix"], vix1d_bars=bars["vix1d"],
+        daily_specs=[(oi, "same_day"), (term, "t1"), (cross, "t1"), (macro, "t2")], term_structure=ts,
+        option_volume=base.open_interest(spark, d), volume_column="open_interest", closes=shifted, regime=regime, events=events, event_names=("CPI", "FOMC"),
+    )
+
+
+cte("mday", "SELECT date, arg_max(close, datetime) AS session_close, arg_min(open, datetime) AS day_open FROM (SELECT CAST(datetime AS DATE) AS date, datetime, spot - 0.5 AS open, spot AS close FROM spots) GROUP BY 1", "spots")
+cte("oiday_", """
+SELECT date, sum(c) AS total_call_oi, arg_max(strike, (c + p, -strike)) AS max_pain_strike FROM (
+  SELECT date, strike, coalesce(sum(open_interest) FILTER ("right" = 'call'), 0) AS c, coalesce(sum(open_interest) FILTER ("right" = 'put'), 0) AS p FROM oi GROUP BY 1, 2) GROUP BY 1
+""", "oi")
+cte("surf_", """
+SELECT timestamp, CASE WHEN min(abs(delta - 0.5)) FILTER ("right" = 'call') <= 0.15 THEN arg_min(implied_vol, (abs(delta - 0.5), strike)) FILTER ("right" = 'call') END AS ac,
+  CASE WHEN min(abs(delta + 0.5)) FILTER ("right" = 'put') <= 0.15 THEN arg_min(implied_vol, (abs(delta + 0.5), strike)) FILTER ("right" = 'put') END AS ap FROM chain WHERE implied_vol > 0.01 AND implied_vol < 5.0 GROUP BY 1
+""", "chain")
+
+
+@query("training_table", "P5 P9 J2 J3 J4 I11 I12 I15 I16 A21 F1 F2 P10", """
+SELECT s.decision_datetime, s.strategy, s.credit, hour(s.decision_datetime) * 60 + minute(s.decision_datetime) - 570 AS minutes_since_open, CAST(s.strategy = 'IC_20d_25w' AS BIGINT) AS strat_ic20, CAST(isodow(s.date) - 1 AS BIGINT) AS day_of_week,
+  o.total_call_oi AS daily_prior_total_call_oi, (b.close - lag5) / lag5 * 100 AS intraday_spx_ret_5m, (g.day_open - g.prev) / g.prev * 100 AS gap_pct, round_even(s.spx_prev_min_close / 5, 0) * 5 AS spx_intraday_atm_strike,
+  coalesce((u.ac + u.ap) / 2.0, u.ac, u.ap) AS intraday_atm_iv, s.spx_prev_min_close - o.max_pain_strike AS intraday_max_pain_distance_pts
+FROM spine s LEFT JOIN oiday_ o USING (date)
+LEFT JOIN (SELECT datetime, spot AS close, lag(spot, 5) OVER (PARTITION BY date ORDER BY datetime) AS lag5 FROM spots) b ON b.datetime + INTERVAL 1 MINUTE = s.decision_datetime
+LEFT JOIN (SELECT *, lag(session_close) OVER (ORDER BY date) AS prev FROM mday) g USING (date)
+LEFT JOIN surf_ u ON u.timestamp + INTERVAL 1 MINUTE = s.decision_datetime
+""", uses="spine mday oiday_ surf_", num="credit daily_prior_total_call_oi intraday_spx_ret_5m gap_pct spx_intraday_atm_strike intraday_atm_iv intraday_max_pain_distance_pts", time="decision_datetime")
+def _(spark, d):
+    from strikeline.plans.training import build_training_table
+
+    t = settle(build_training_table(training_inputs(spark, d)), "training")
+    return t.select(
+        "decision_datetime", "strategy", "credit", "minutes_since_open", F.col("strat_IC_20d_25w").alias("strat_ic20"), "day_of_week", "daily_prior_total_call_oi", "intraday_spx_ret_5m",
+        F.col("daily_spx_open_vs_prev_close_gap_pct").alias("gap_pct"), "spx_intraday_atm_strike", "intraday_atm_iv", "intraday_max_pain_distance_pts",
+    )
