@@ -133,6 +133,8 @@ def chain_columns(spot: str, strike: str, tau, wobble):  # noqa: ANN001, ANN201
 def chain(spark: SparkSession, d: str) -> DataFrame:
     """Strike ladder around every session minute, both sides, with greeks."""
     s = spots(spark, d).withColumn("atm", F.bround(F.col("spot") / 5.0) * 5.0)
+    # each minute grows to 122 rows: spread the minutes before that, and keep a minute's rows together
+    s = s.repartition(spark.sparkContext.defaultParallelism * 2, "datetime")
     g = s.withColumn("k", F.explode(F.sequence(F.lit(-30), F.lit(30)))).withColumn("strike", F.col("atm") + 5.0 * F.col("k"))
     step = (F.col("strike") / 5.0).cast("long")
     mins = minute_of_day("datetime")

@@ -21,6 +21,7 @@ def first_touch(
     (key, time slice) first: an entry looks at slice extremes, and rows are
     matched only in its border slices and in the first slice that reaches a
     level. Keys are split along time, so one hot key spreads over many tasks.
+    ``key`` must be unique per entry.
 
     Returns ``key`` plus ``<name>_t``, ``<name>_v`` per level and ``last_t``,
     ``last_v``, the final point in range. Entries without any point drop out.
@@ -46,9 +47,10 @@ def first_touch(
     def reached(name: str, op: str) -> Column:
         return F.col("_hi") >= F.col(f"_lv_{name}") if op == ">=" else F.col("_lo") <= F.col(f"_lv_{name}")
 
-    carry = [F.col("_a"), F.col("_z"), *[F.col(f"_lv_{n}") for n, _, _ in levels]]
+    carry = ["_a", "_z", *[f"_lv_{n}" for n, _, _ in levels]]
     group = list(dict.fromkeys([*on, *key]))
-    picks = seen.groupBy(*group, *carry).agg(
+    picks = seen.groupBy(*group).agg(
+        *[F.first(c).alias(c) for c in carry],
         F.min(F.when(border, F.col("_s"))).alias("_b0"),
         F.max(F.when(border, F.col("_s"))).alias("_b1"),
         F.max(F.when(~border, F.col("_s"))).alias("_f"),

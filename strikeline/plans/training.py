@@ -17,6 +17,7 @@ from strikeline.operators.clean import one_hot, sanitize_numeric
 from strikeline.operators.lagjoin import join_daily, unique_on
 from strikeline.plans import daily as dl
 from strikeline.plans.strategies import STRATEGY_NAMES
+from strikeline.plans.tables import settle
 from strikeline.registry import prior_name
 
 
@@ -73,7 +74,7 @@ def family_session(bars: DataFrame, state: DataFrame) -> DataFrame:
 
 def family_cross_horizon(df: DataFrame, daily: DataFrame) -> DataFrame:
     """Intraday state against prior-day context (family 6)."""
-    x = df.join(ind.daily_context(daily, []), "date", "left")
+    x = df.join(settle(ind.daily_context(daily, []), "daily"), "date", "left")
     x = x.withColumn("_first", F.col("spx_intraday_first_bar_open") * F.col("first_30m_range_pct") / 100.0)
     cols = ind.cross_horizon("spx_prev_min_close", "intraday_spx_vs_ma15", "intraday_rvol_30m", "intraday_running_range", "_first")
     ctx = ["daily_rv_5", "daily_rv_20", "atr_14", "sma_7", "sma_20", "sma_50", "sma_180", "_first"]
@@ -90,7 +91,7 @@ def family_daily_technicals(df: DataFrame, daily: DataFrame, t: Inputs) -> DataF
     ]
     out = df
     for p in parts:
-        out = out.join(unique_on(p, ["date"]), "date", "left")
+        out = out.join(settle(unique_on(p, ["date"]), "daily"), "date", "left")
     ratios = {"daily_prior_vix1d_vs_vix": div_pos("daily_prior_vix1d_close", "daily_prior_vix_close"), "daily_prior_iv_rv_ratio": div_pos("daily_prior_atm_iv", "daily_prior_yz_hv_20")}
     ratios |= {f"daily_prior_iv_hv_ratio_{n}day": div_pos("daily_prior_atm_iv", f"daily_prior_yz_hv_{n}") for n in (5, 10, 20, 30)}
     return out.withColumns(ratios)
@@ -132,7 +133,7 @@ def snapshot_features(state: DataFrame) -> DataFrame:
 
 def family_snapshot(df: DataFrame, state: DataFrame) -> DataFrame:
     """Chain snapshot at the decision minute plus distances to daily levels (family 8)."""
-    x = df.join(snapshot_features(state), "decision_datetime", "left")
+    x = df.join(settle(snapshot_features(state), "snapshot"), "decision_datetime", "left")
     cols: dict[str, Column] = {}
     if "max_pain_strike" in df.columns:
         gap = F.col("_spx") - F.col("max_pain_strike")
@@ -165,7 +166,7 @@ def family_context(df: DataFrame, t: Inputs) -> DataFrame:
     if t.earnings is not None:
         parts.append(cal.earnings_flags(days, t.earnings, "date", "symbol", t.earnings_names))
     for p in parts:
-        out = out.join(unique_on(p, ["date"]), "date", "left")
+        out = out.join(settle(unique_on(p, ["date"]), "daily"), "date", "left")
     if t.term_structure is not None:
         out = out.withColumns({f"intraday_iv_ts_slope_0dte_{n}dte": div_pos("intraday_atm_iv", f"daily_prior_ts_iv_{n}dte") for n in (7, 14)})
     return out
@@ -174,15 +175,16 @@ def family_context(df: DataFrame, t: Inputs) -> DataFrame:
 def build_training_table(t: Inputs) -> DataFrame:
     """One row per decision minute and strategy, infinities and NaN as NULL.
 
-    All joins keep the spine's grain. Daily sides are aggregated to one row per
-    date first and guarded against repeats.
+    All joins keep the spine's grain. Every daily table and the session and snapshot
+    features are written as tables of their own, one row per date or minute and
+    guarded against repeats; the wide table is then a chain of joins over them.
     """
     base_cols = set(t.spine.columns)
-    x = join_daily(t.spine, t.daily_specs)
+    x = join_daily(t.spine, [(settle(df, "daily"), lag) for df, lag in t.daily_specs])
     lagged = [c for c in x.columns if c not in base_cols]
     x = family_daily_names(family_entry(x), lagged)
-    x = x.join(family_session(t.bars, t.state), "decision_datetime", "left")
-    daily = dl.spot_daily(t.bars)
+    x = x.join(settle(family_session(t.bars, t.state), "session"), "decision_datetime", "left")
+    daily = settle(dl.spot_daily(t.bars), "daily")
     x = family_cross_horizon(x, daily)
     x = family_daily_technicals(x, daily, t)
     x = family_snapshot(x, t.state)

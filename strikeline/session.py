@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    # call-site capture costs about a millisecond per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
