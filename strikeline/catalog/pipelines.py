@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from strikeline.catalog import base
@@ -111,6 +113,35 @@ def _(spark, d):
     return outcomes(spark, d).select("decision_datetime", "strategy", "date", "credit", "tp", "target", "exit_reason", "exit_time", "exit_debit", "pnl")
 
 
+_sides1 = ", ".join(
+    f"max(CASE WHEN \"right\" = '{s}' THEN {c} END) AS {s}_{o}"
+    for s in ("call", "put") for c, o in (("bid", "bid_close"), ("(bid + ask) / 2.0", "mid_close"), ("delta", "delta"), ("implied_vol", "implied_vol"))
+)
+cte("state1", f"SELECT date, timestamp AS decision_datetime, strike, median(underlying_price) AS spx_close, {_sides1} FROM chain GROUP BY 1, 2, 3", "chain")
+cte("ent1", "SELECT * FROM state1 WHERE hour(decision_datetime) * 60 + minute(decision_datetime) BETWEEN 570 AND 899", "state1")
+_again = ("state", "ent", "scp", "spp", "shorts", "longs", "spine_all", "spine", "legs", "paths", "ends", "races", "touched", "outcomes")
+for _n in _again[2:]:
+    _body, _needs = base.CTES[_n]
+    _body = re.sub(r"\b(" + "|".join(_again) + r")\b(?!')", r"\g<1>1", _body)
+    if _n == "spine":
+        _body = "SELECT * EXCLUDE (target, raw_credit), round(raw_credit, 4) AS credit FROM spine_all1 WHERE call_wing_width > 0 AND put_wing_width > 0 AND raw_credit > 0"
+    if _n == "ends":
+        _body = "SELECT DISTINCT date, date + INTERVAL 15 HOUR AS z FROM state1"
+    if _n in ("touched", "outcomes"):
+        _body = _body.replace("SELECT decision_datetime", "SELECT lt, decision_datetime") if _n == "outcomes" else _body
+    cte(f"{_n}1", _body, " ".join(f"{d}1" if d in _again else d for d in _needs.split()))
+
+
+@query("entry_labels", "L4 L3", """
+SELECT decision_datetime, strategy, tp, target, exit_reason, exit_time, exit_debit, pnl, date_diff('minute', decision_datetime, lt) AS time_to_close_min FROM outcomes1
+""", uses="outcomes1", num="tp exit_debit pnl", time="decision_datetime exit_time")
+def _(spark, d):
+    from strikeline.plans.labels import build_entry_labels
+
+    x = build_entry_labels(base.chain(spark, d), long_form=True)
+    return x.select("decision_datetime", "strategy", "tp", "target", "exit_reason", "exit_time", "exit_debit", "pnl", "time_to_close_min")
+
+
 @query("outcome_baseline", "A41 A23", """
 SELECT strategy, tp, count(*) AS n, avg(target) AS win_rate, avg(pnl) AS ev, count(*) FILTER (exit_reason = 'sl') AS n_sl, count(*) FILTER (exit_reason = 'tp') AS n_tp,
   count(*) FILTER (exit_reason = 'close_win') AS n_close_win, count(*) FILTER (exit_reason = 'close_loss') AS n_close_loss,
@@ -143,8 +174,8 @@ def training_inputs(spark, d):
     ts = base.term_structure(spark, d)
     # daily closes are moved onto the session calendar so that lags have dates to meet
     closes = base.closes(spark, d)
-    first = closes.agg(F.min("date").alias("_f")).withColumn("_k", F.lit(1))
-    shifted = closes.withColumn("_k", F.lit(1)).join(first, "_k").withColumn("date", F.date_add(F.lit("2022-06-01").cast("date"), F.datediff("date", "_f"))).drop("_f", "_k")
+    first = closes.agg(F.min("date")).scalar()
+    shifted = settle(closes.withColumn("date", F.date_add(F.lit("2022-06-01").cast("date"), F.datediff("date", first))), "closes")
     w = ind.by([], "date")
     regime = run_of_state(
         shifted.select("date", (F.col("vix") > 20).cast("long").alias("regime_state"), (F.col("vix") / 40.0).alias("regime_prob_highvol")), "regime_state", w, "regime_duration", "regime_switch"

@@ -22,10 +22,9 @@ def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Weight positives by negatives over positives; the ratio is one row, joined on a constant."""
-    ratio = df.agg(F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("_r")).withColumn("_k", F.lit(1))
-    x = df.withColumn("_k", F.lit(1)).join(ratio, "_k", "left")
-    return x.withColumn(out, F.when(F.col(label) == 1, F.coalesce("_r", F.lit(1.0))).otherwise(1.0)).drop("_k", "_r")
+    """Weight positives by negatives over positives, a single number read as a subquery."""
+    ratio = df.agg(F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1))).scalar()
+    return df.withColumn("_r", ratio).withColumn(out, F.when(F.col(label) == 1, F.coalesce("_r", F.lit(1.0))).otherwise(1.0)).drop("_r")
 
 
 def fit_classifier(df: DataFrame, features: Sequence[str], label: str, validation: str | None = None, **params) -> PipelineModel:  # noqa: ANN003
@@ -50,7 +49,7 @@ def score_levels(df: DataFrame, models: Mapping[str, PipelineModel]) -> DataFram
 
 def auc_of(scored: DataFrame, label: str, prob: str = "prob") -> float:
     """Overall area under the curve as a number (a single value reaches the driver)."""
-    row = roc_auc(scored.withColumn("_all", F.lit(1)), ["_all"], label, prob).first()
+    row = roc_auc(scored, [], label, prob).first()
     return float(row["auc"]) if row and row["auc"] is not None else float("nan")
 
 

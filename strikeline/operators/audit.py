@@ -75,8 +75,8 @@ def chain_rules() -> dict[str, Column]:
 def rows_per_day(df: DataFrame, date: str) -> DataFrame:
     """Row count per day with sparse (<10 % of median) and dense (>3x median) flags."""
     day = df.groupBy(date).agg(F.count(F.lit(1)).alias("rows"))
-    med = exact_quantiles(day.withColumn("_k", F.lit(1)), ["_k"], "rows", [0.5]).select("_k", F.col("quantiles")[0].alias("median_rows"))
-    x = day.withColumn("_k", F.lit(1)).join(med, "_k").drop("_k")
+    median = exact_quantiles(day, [], "rows", [0.5]).select(F.col("quantiles")[0]).scalar()
+    x = day.withColumn("median_rows", median)
     return x.withColumns({"sparse": (F.col("rows") < F.col("median_rows") * 0.1).cast("long"), "dense": (F.col("rows") > F.col("median_rows") * 3).cast("long")})
 
 

@@ -126,10 +126,9 @@ def impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_p")
     ).select("_p.*")
-    medians = exact_quantiles(long, ["feature"], "v", [0.5])
-    wide = medians.groupBy().agg(*[F.max(F.when(F.col("feature") == c, F.col("quantiles")[0])).alias(f"_m_{c}") for c in cols])
-    filled = df.withColumn("_k", F.lit(1)).join(wide.withColumn("_k", F.lit(1)), "_k", "left")
-    return filled.select(*[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c in set(cols) else F.col(c) for c in df.columns])
+    medians = exact_quantiles(long, ["feature"], "v", [0.5])  # one row per column
+    fills = {c: medians.where(F.col("feature") == c).agg(F.max(F.col("quantiles")[0])).scalar() for c in cols}
+    return df.withColumns({c: F.coalesce(F.col(c), fills[c]) for c in cols})
 
 
 def hard_blocked(

@@ -30,11 +30,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def replace_overlap(old: DataFrame, new: DataFrame, date: str) -> DataFrame:
     """Keep old rows strictly before the first new date, then append the new rows."""
-    first = new.agg(F.min(date).alias("_first")).withColumn("_k", F.lit(1))
-    kept = (
-        old.withColumn("_k", F.lit(1)).join(first, "_k", "left")
-        .where(F.col("_first").isNull() | (F.col(date) < F.col("_first"))).drop("_k", "_first")
-    )
+    first = new.agg(F.min(date)).scalar()
+    kept = old.where((F.col(date) < first) | first.isNull())
     return kept.unionByName(new, allowMissingColumns=True)
 
 

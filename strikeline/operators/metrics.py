@@ -96,10 +96,9 @@ def skip_rate_sweep(
     Cutoffs are exact quantiles per group; the sweep is conditional aggregates
     over one scan.
     """
-    on = list(keys) or ["_g"]
-    base = df if keys else df.withColumn("_g", F.lit(0))
-    cuts = exact_quantiles(base, on, score, rates, out="_cuts").select(*on, "_cuts")
-    x = base.join(cuts, on, "left")
+    on = list(keys)
+    cuts = exact_quantiles(df, on, score, rates, out="_cuts").select(*on, "_cuts")
+    x = df.join(cuts, on, "left") if on else df.withColumn("_cuts", cuts.scalar())
     aggs = [F.count(F.lit(1)).alias("n_total"), F.avg(F.col(label).cast("double")).alias("_wr"), F.avg(pnl).alias("_ev"), F.first("_cuts").alias("_cuts")]
     for i in range(len(rates)):
         hit = F.col(score) >= F.col("_cuts")[i]

@@ -29,13 +29,13 @@ def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, slices: int
     they only balance the work, so results do not depend on their accuracy.
     """
     cuts = F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000)
-    keyed = df.withColumn("_g", F.lit(0)) if not keys else df
-    on = list(keys) or ["_g"]
-    borders = keyed.groupBy(*on).agg(cuts.alias("_cuts"))
-    null_safe = keyed.join(borders, on, "left")
-    return null_safe.withColumn(
+    if keys:
+        bordered = df.join(df.groupBy(*keys).agg(cuts.alias("_cuts")), list(keys), "left")
+    else:
+        bordered = df.withColumn("_cuts", df.agg(cuts).scalar())
+    return bordered.withColumn(
         out, F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)).cast("long")
-    ).drop("_cuts", "_g")
+    ).drop("_cuts")
 
 
 def slice_carry(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], slice_col: str = SLICE) -> DataFrame:

@@ -19,9 +19,12 @@ FIELDS = ("target", "exit_reason", "exit_time", "exit_debit", "pnl")
 SIGNS = {"short_call": ("call", 1.0), "short_put": ("put", 1.0), "long_call": ("call", -1.0), "long_put": ("put", -1.0)}
 
 
-def close_times(state: DataFrame, day: Sequence[str], close: str) -> DataFrame:
-    """The closing minute of each day, or its last minute when that one is missing."""
+def close_times(state: DataFrame, day: Sequence[str], close: str, fallback: bool = True) -> DataFrame:
+    """The closing minute of each day; its last minute when that one is missing, if allowed."""
     t = F.col("decision_datetime")
+    if not fallback:
+        at = F.date_trunc("day", F.min(t)).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(minutes(close)))
+        return state.groupBy(*day).agg(at.alias("_close"))
     at = (minute_of_day(t) == minutes(close)) & (F.second(t) == 0)
     return state.groupBy(*day).agg(F.coalesce(F.max(F.when(at, t)), F.max(t)).alias("_close"))
 
@@ -46,7 +49,7 @@ def combo_paths(spine: DataFrame, state: DataFrame, day: Sequence[str]) -> DataF
 def build_outcomes(
     spine: DataFrame, state: DataFrame, keys: Sequence[str] = (), close: str = "15:00",
     levels: Sequence[float] = TP_LEVELS, stop: float = STOP_MULTIPLE, slice_seconds: int = 1800, long_form: bool = False,
-    keep_paths: bool = True,
+    keep_paths: bool = True, fallback_close: bool = True,
 ) -> DataFrame:
     """Spine plus tp<level>_{target,exit_reason,exit_time,exit_debit,pnl}.
 
@@ -59,18 +62,20 @@ def build_outcomes(
         paths = settle(paths, "paths")
     tag = {lv: f"tp{round(lv * 100)}" for lv in levels}
     credit = F.col("credit")
-    asks = spine.join(close_times(state, day, close), day, "inner").select(
+    asks = spine.join(close_times(state, day, close, fallback_close), day, "inner").select(
         *day, *LEGS, "decision_datetime", "_close", (credit * F.lit(stop)).alias("_sl"),
         *[(credit * F.lit(1.0 - lv)).alias(f"_{t}") for lv, t in tag.items()],
-    )
+    ).distinct()
     hits = first_touch(
         asks, paths, [*day, *LEGS], [*day, *LEGS, "decision_datetime"], "decision_datetime", "_close", "decision_datetime", "debit",
         [("sl", ">=", "_sl"), *[(t, "<=", f"_{t}") for t in tag.values()]], slice_seconds,
     )
     both = spine.join(hits, [*day, *LEGS, "decision_datetime"], "left")
     last = (F.col("last_t"), F.col("last_v"))
+    spare = F.timestamp_diff("MINUTE", F.col("decision_datetime"), F.col("last_t")).alias("time_to_close_min")
+    keep = [*spine.columns, spare] if not fallback_close else list(spine.columns)
     results = {t: race(credit, (F.col("sl_t"), F.col("sl_v")), (F.col(f"{t}_t"), F.col(f"{t}_v")), last) for t in tag.values()}
     if long_form:
         rows = [F.struct(F.lit(lv).alias("tp"), *[results[t][f].alias(f) for f in FIELDS]) for lv, t in tag.items()]
-        return both.select(*spine.columns, F.explode(F.array(*rows)).alias("_o")).select(*spine.columns, "_o.*")
-    return both.select(*spine.columns, *[results[t][f].alias(f"{t}_{f}") for t in tag.values() for f in FIELDS])
+        return both.select(*keep, F.explode(F.array(*rows)).alias("_o")).select("*", "_o.*").drop("_o")
+    return both.select(*keep, *[results[t][f].alias(f"{t}_{f}") for t in tag.values() for f in FIELDS])

@@ -25,13 +25,14 @@ def _closest(ladder: Column, ok, dist, extra, prefer_higher: bool = False) -> Co
 
 def build_spine(
     state: DataFrame, keys: Sequence[str] = (), start: str = "10:00", end: str = "15:00",
-    strategies: Sequence[tuple[str, float, float]] = STRATEGIES, wing_tolerance: float = 10.0,
+    strategies: Sequence[tuple[str, float, float]] = STRATEGIES, wing_tolerance: float = 10.0, min_quotes: int = 0, dedup: bool = True,
 ) -> DataFrame:
     """Short legs nearest the target deltas, long legs nearest the wings, positive credit.
 
     A minute's ladder (at most the listed strikes) is gathered once, then every
     strategy is resolved inside the row: one shuffle of the state in total. Equal
-    combinations of one minute keep the highest target delta.
+    combinations of one minute keep the highest target delta unless ``dedup`` is off.
+    ``min_quotes`` skips minutes with fewer call and put quotes.
     """
     x = state.where(in_session("decision_datetime", start, end) & F.col("spx_close").isNotNull())
     rung = F.struct(
@@ -40,7 +41,8 @@ def build_spine(
         F.col("put_delta").alias("pd"), F.col("call_implied_vol").alias("civ"), F.col("put_implied_vol").alias("piv"),
     )
     minute = [*keys, "decision_datetime", "date"]
-    rows = x.groupBy(*minute).agg(F.max("spx_close").alias("spx_prev_min_close"), F.array_sort(F.collect_list(rung)).alias("_l"))
+    rows = x.groupBy(*minute).agg(F.max("spx_close").alias("spx_prev_min_close"), F.array_sort(F.collect_list(rung)).alias("_l"), (F.count("call_mid_close") + F.count("put_mid_close")).alias("_q"))
+    rows = rows.where(F.col("_q") >= min_quotes).drop("_q") if min_quotes else rows.drop("_q")
     grid = F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(d).alias("delta"), F.lit(w).alias("wing")) for n, d, w in strategies])
     ladder = F.col("_l")
 
@@ -69,4 +71,4 @@ def build_spine(
         credit.alias("_credit"),
     ).where((F.col("call_wing_width") > 0) & (F.col("put_wing_width") > 0) & (F.col("_credit") > 0))
     z = z.withColumn("credit", F.round("_credit", 4)).drop("_credit")
-    return keep_one(z, [*minute, *LEGS], ["_target"], last=True).drop("_target")
+    return (keep_one(z, [*minute, *LEGS], ["_target"], last=True) if dedup else z).drop("_target")
