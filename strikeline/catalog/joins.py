@@ -225,7 +225,7 @@ def _(spark, d):
     s = e.where(F.col("event_type") == "signup").select(
         "event_id", "ts", "event_type", (F.col("value") + 60.0).alias("up"), F.greatest(F.col("value") - 15.0, F.lit(2.0)).alias("down"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("z")
     )
-    x = first_touch(s, e, ["event_type"], ["event_id"], "ts", "z", "ts", "value", [("up", ">=", "up"), ("down", "<=", "down")], 3600)
+    x = first_touch(s, e, ["event_type"], ["event_id"], "ts", "z", "ts", "value", [("up", ">=", "up"), ("down", "<=", "down")], 86_400, dense=True)
     return x.select("event_id", "up_t", "down_t", "last_t", "last_v")
 
 

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeline.functions.scalar import epoch_seconds
 
 
 def first_touch(
     entries: DataFrame, path: DataFrame, on: Sequence[str], key: Sequence[str], entry_time: str, end_time: str,
-    path_time: str, value: str, levels: Sequence[tuple[str, str, str]], slice_seconds: int,
+    path_time: str, value: str, levels: Sequence[tuple[str, str, str]], slice_seconds: int, dense: bool = False,
 ) -> DataFrame:
     """When does a path first reach each of an entry's own levels?
 
@@ -23,6 +24,10 @@ def first_touch(
     level. Keys are split along time, so one hot key spreads over many tasks.
     ``key`` must be unique per entry.
 
+    On a bar grid a slice holds few rows and a plain join matches them. For raw
+    ticks set ``dense``: each (key, slice) is then searched in sorted arrays, so the
+    cost per slice grows with its rows times a logarithm, never with pairs.
+
     Returns ``key`` plus ``<name>_t``, ``<name>_v`` per level and ``last_t``,
     ``last_v``, the final point in range. Entries without any point drop out.
     """
@@ -58,7 +63,14 @@ def first_touch(
     )
     slots = F.array_distinct(F.array_compact(F.array("_b0", "_b1", "_f", *[f"_h_{n}" for n, _, _ in levels])))
     near = picks.withColumn("_s", F.explode(slots)).drop("_b0", "_b1", "_f", *[f"_h_{n}" for n, _, _ in levels])
+    if dense:
+        found = _search(near, points, on, key, levels)
+        return found.groupBy(*key).agg(
+            *[c for n, _, _ in levels for c in (F.min(f"{n}_t").alias(f"{n}_t"), F.min_by(f"{n}_v", f"{n}_t").alias(f"{n}_v"))],
+            F.max("last_t").alias("last_t"), F.max_by("last_v", "last_t").alias("last_v"),
+        ).where(F.col("last_t").isNotNull())
     rows = near.join(points, [*on, "_s"], "inner").where((F.col("_t") > F.col("_a")) & (F.col("_t") <= F.col("_z")))
+
     def at(name: str, op: str) -> Column:
         level = F.col(f"_lv_{name}")
         return F.when(F.col("_v") >= level if op == ">=" else F.col("_v") <= level, F.col("_t"))
@@ -70,6 +82,62 @@ def first_touch(
     )
 
 
+def _search(near: DataFrame, points: DataFrame, on: Sequence[str], key: Sequence[str], levels: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """First reach of each level inside each (key, slice), by doubling over block extremes."""
+    kinds = {f.name: f.dataType for f in near.schema.fields}
+    time, number = points.schema["_t"].dataType, T.DoubleType()
+    fields = [T.StructField(k, kinds[k]) for k in key]
+    for n in [n for n, _, _ in levels] + ["last"]:
+        fields += [T.StructField(f"{n}_t", time), T.StructField(f"{n}_v", number)]
+    ops = [(n, op) for n, op, _ in levels]
+
+    def run(asks, path):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        out = asks[list(key)].copy()
+        path = path.sort_values("_t", kind="stable")
+        t, v = path["_t"].to_numpy(), path["_v"].to_numpy(dtype=float)
+        lo = np.searchsorted(t, asks["_a"].to_numpy(), side="right")
+        hi = np.searchsorted(t, asks["_z"].to_numpy(), side="right")
+
+        def put(name, pos, ok):  # noqa: ANN001
+            safe = np.where(ok, pos, 0)
+            blank = len(v) == 0
+            out[f"{name}_t"] = pd.Series(pd.NaT if blank else t[safe], index=out.index).where(ok)
+            out[f"{name}_v"] = np.nan if blank else np.where(ok, v[safe], np.nan)
+
+        for sign in (1.0, -1.0):
+            mine = [n for n, op in ops if (op == ">=") == (sign > 0)]
+            if not mine or len(v) == 0:
+                continue
+            blocks = [sign * v]
+            while len(blocks[-1]) > 1:
+                half = 1 << (len(blocks) - 1)
+                last = blocks[-1]
+                blocks.append(np.maximum(last, np.concatenate([last[half:], np.full(min(half, len(last)), -np.inf)])))
+                if half * 2 >= len(v):
+                    break
+            for n in mine:
+                want, pos = sign * asks[f"_lv_{n}"].to_numpy(dtype=float), lo.copy()
+                for k in reversed(range(len(blocks))):
+                    inside = pos < len(v)
+                    miss = inside & ~(blocks[k][np.where(inside, pos, 0)] >= want)
+                    pos = np.where(miss, pos + (1 << k), pos)
+                put(n, pos, pos < hi)
+        for n, _ in ops:
+            if f"{n}_t" not in out:
+                put(n, lo, np.zeros(len(out), dtype=bool))
+        put("last", hi - 1, hi > lo)
+        return out[[f.name for f in fields]]
+
+    by = [*on, "_s"]
+    # both sides may stem from one table: fresh attributes keep the grouping keys unambiguous
+    points = points.select(*[F.col(c).alias(c) for c in points.columns])
+    near = near.select(*[F.col(c).alias(c) for c in near.columns])
+    return near.groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(run, T.StructType(fields))
+
+
 def race(credit: Column, stop: tuple[Column, Column], profit: tuple[Column, Column], last: tuple[Column, Column]) -> dict[str, Column]:
     """Outcome of a stop against a profit level, each given as (time, value).
 

@@ -47,13 +47,13 @@ def test_asof_join(spark, direction, strict):
         assert (pd.isna(got[r.id]) and want is None) or got[r.id] == want
 
 
-@pytest.mark.parametrize("slice_seconds", [900, 7200, 40_000])
-def test_first_touch(spark, slice_seconds):
+@pytest.mark.parametrize("slice_seconds, dense", [(900, False), (7200, False), (40_000, False), (7200, True), (40_000, True)])
+def test_first_touch(spark, slice_seconds, dense):
     p = hot(500).drop_duplicates(["k", "t"])
     e = hot(120).rename(columns={"id": "eid"})
     e["z"], e["up"], e["down"] = e.t + pd.Timedelta(hours=20), e.v + 12, e.v - 12
     ed = frame(spark, e).withColumn("z", F.col("z").cast("timestamp_ntz"))
-    out = first_touch(ed, frame(spark, p), ["k"], ["eid"], "t", "z", "t", "v", [("up", ">=", "up"), ("down", "<=", "down")], slice_seconds).toPandas().set_index("eid")
+    out = first_touch(ed, frame(spark, p), ["k"], ["eid"], "t", "z", "t", "v", [("up", ">=", "up"), ("down", "<=", "down")], slice_seconds, dense).toPandas().set_index("eid")
     for r in e.itertuples():
         c = p[(p.k == r.k) & (p.t > r.t) & (p.t <= r.z)].sort_values("t")
         if c.empty:
@@ -71,6 +71,8 @@ def test_exact_quantiles_and_median_of_one(spark):
     out = exact_quantiles(frame(spark, pdf), ["k"], "v", probs, slices=16).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         assert np.allclose(out.loc[k, "quantiles"], np.quantile(g.v, probs))
+    whole = exact_quantiles(frame(spark, pdf), [], "v", probs, slices=16).first()
+    assert np.allclose(whole["quantiles"], np.quantile(pdf.v, probs))
     one = spark.createDataFrame([(1, 3.0)], "k int, v double")
     assert exact_quantiles(one, ["k"], "v", [0.5]).first()["quantiles"] == [3.0]
 
