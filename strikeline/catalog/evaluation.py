@@ -171,7 +171,7 @@ SELECT fold, role, count(*) AS rows, count(DISTINCT date) AS days, min(date) AS
 """, uses="trades tfold", day="first_day last_day")
 def _(spark, d):
     f = splits.walk_forward_folds(base.trades(spark, d), "date", 4, 500)
-    per = f.groupBy("fold", "role", "date").agg(F.count(F.lit(1)).alias("n"))
+    per = f.withColumn("fold", F.col("fold").cast("long")).groupBy("fold", "role", "date").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("fold", "role").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 

@@ -104,7 +104,7 @@ def _(spark, d):
 
 
 @query("earnings_day_flags", "J13 A6 A7", """
-SELECT d.date, coalesce(n, 0) AS earnings_count, coalesce(s, '') AS earnings_symbols, CAST(coalesce(n, 0) > 0 AS BIGINT) AS is_earnings_day, coalesce(a, 0) AS is_earnings_cpi, coalesce(b, 0) AS is_earnings_nfp
+SELECT d.date, coalesce(n, 0) AS earnings_count, coalesce(s, '') AS earnings_symbols, CAST(coalesce(n, 0) > 0 AS BIGINT) AS is_earnings_day, CAST(coalesce(a, 0) AS BIGINT) AS is_earnings_cpi, CAST(coalesce(b, 0) AS BIGINT) AS is_earnings_nfp
 FROM odates d LEFT JOIN (SELECT date, count(*) AS n, string_agg(event, ',' ORDER BY event) AS s, max(CASE WHEN event = 'CPI' THEN 1 ELSE 0 END) AS a, max(CASE WHEN event = 'NFP' THEN 1 ELSE 0 END) AS b FROM cal GROUP BY 1) c USING (date)
 """, uses="cal odates", day="date")
 def _(spark, d):
@@ -122,7 +122,7 @@ def _(spark, d):
 
 
 @query("validity_interval_lookup", "J22 F6", """
-SELECT o_orderkey, CASE WHEN d >= DATE '1993-01-20' AND d < DATE '1997-01-20' THEN 1 WHEN d >= DATE '1997-01-20' AND d < DATE '2001-01-20' THEN 2 ELSE 3 END AS term
+SELECT o_orderkey, CAST(CASE WHEN d >= DATE '1993-01-20' AND d < DATE '1997-01-20' THEN 1 WHEN d >= DATE '1997-01-20' AND d < DATE '2001-01-20' THEN 2 ELSE 3 END AS BIGINT) AS term
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
 """)
 def _(spark, d):
