@@ -40,7 +40,9 @@ def first_touch(
     points = path.where(F.col(value).isNotNull()).select(
         *on, F.col(path_time).alias("_t"), F.col(value).alias("_v"), slot(path_time).alias("_s")
     )
-    extremes = points.groupBy(*on, "_s").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    extremes = points.groupBy(*on, "_s").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1")
+    )
     lv = {name: F.col(c) for name, _, c in levels}
     asks = entries.select(
         *dict.fromkeys([*on, *key]), F.col(entry_time).alias("_a"), F.col(end_time).alias("_z"),
@@ -52,13 +54,18 @@ def first_touch(
     def reached(name: str, op: str) -> Column:
         return F.col("_hi") >= F.col(f"_lv_{name}") if op == ">=" else F.col("_lo") <= F.col(f"_lv_{name}")
 
+    # a border slice is opened only if its extremes reach some level; the last slice with a point in range always is
+    some = F.lit(False)
+    for n, op, _ in levels:
+        some = some | reached(n, op)
+    in_range = (F.col("_t0") <= F.col("_z")) & (F.col("_t1") > F.col("_a"))
     carry = ["_a", "_z", *[f"_lv_{n}" for n, _, _ in levels]]
     group = list(dict.fromkeys([*on, *key]))
     picks = seen.groupBy(*group).agg(
         *[F.first(c).alias(c) for c in carry],
-        F.min(F.when(border, F.col("_s"))).alias("_b0"),
-        F.max(F.when(border, F.col("_s"))).alias("_b1"),
-        F.max(F.when(~border, F.col("_s"))).alias("_f"),
+        F.min(F.when(border & some, F.col("_s"))).alias("_b0"),
+        F.max(F.when(border & some, F.col("_s"))).alias("_b1"),
+        F.max(F.when(in_range, F.col("_s"))).alias("_f"),
         *[F.min(F.when(~border & reached(n, op), F.col("_s"))).alias(f"_h_{n}") for n, op, _ in levels],
     )
     slots = F.array_distinct(F.array_compact(F.array("_b0", "_b1", "_f", *[f"_h_{n}" for n, _, _ in levels])))
