@@ -7,7 +7,7 @@ Spark functions here and as SQL common table expressions in ``CTES``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -357,7 +357,3 @@ SELECT CAST(l_shipdate AS DATE) AS date, {_tick}, avg(l_extendedprice) AS rsp, a
   avg(l_quantity) FILTER (l_linenumber = 4) + 80.0 AS dxy_broad, avg(l_extendedprice) FILTER (l_linenumber = 5) / 20.0 AS gold_fix_am,
   avg(l_quantity) * 2.0 AS ism_pmi, avg(l_extendedprice) / 400.0 AS lei, max(CASE WHEN l_quantity = 50 THEN 1 ELSE 0 END) AS fomc FROM lineitem GROUP BY 1
 """)
-
-
-def names(ids: Sequence[str]) -> list[str]:
-    return [e.name for e in REGISTRY.values() if set(ids) & set(e.ids)]

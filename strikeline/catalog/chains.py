@@ -236,9 +236,6 @@ def _(spark, d):
     return x.select("l_orderkey", "l_linenumber", *[p[c].alias(c) for c in ("ic_credit", "ic_pnl_per_share", "ic_profitable", "ic_tp25_hit")])
 
 
-_cdf = "CASE WHEN {x} >= 0 THEN 1.0 - {t} ELSE {t} END"
-
-
 def _ncdf(x: str) -> str:
     k = f"(1.0 / (1.0 + {bsm.CDF_P} * abs({x})))"
     poly = "0.0"
