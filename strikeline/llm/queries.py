@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import packing, quality, simhash, tokens
+from strikeline.llm import licenses, packing, quality, sharding, simhash, tokens
 from strikeline.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,16 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     """Token count of every document."""
     x = tokens.count_tokens(table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"))
     return x.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op8_licenses")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.scan(table(spark, d, "documents"))
+
+
+@query("op10_sharding")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in eight contiguous shards of nearly equal bytes."""
+    x = sharding.shard(table(spark, d, "documents"), 8)
+    return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
