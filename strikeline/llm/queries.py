@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import licenses, packing, quality, sharding, simhash, tokens
+from strikeline.llm import licenses, packing, quality, sharding, simhash, tokens, warc
 from strikeline.llm.common import ship, table
+from strikeline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +44,27 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
 
+DIGEST = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {5 * (3 - k)}) & 31 AS INTEGER) + 1, 1)" for k in range(4)).removeprefix(" || ")
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda i: {DIGEST.replace("v >>", "CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT) >>")}), '') AS payload_digest FROM s),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM m
+"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's record, written to archives, read back and put in global capture order."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, d, "pages"), folder)
+    x = warc.merge_runs(warc.read_archives(spark, folder))
+    return x.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_quality")
 def op3(spark: SparkSession, d: str) -> DataFrame:
     """Counts and verdict of every document."""
