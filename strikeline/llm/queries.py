@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import licenses, packing, quality, sharding, simhash, tokens, warc
+from strikeline.llm import decontaminate, licenses, packing, quality, sharding, simhash, tokens, warc
 from strikeline.llm.common import ship, table
 from strikeline.session import shared_dir
 
@@ -92,6 +92,12 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(table(spark, d, "documents"))
 
 
+@query("op9_decontamination")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of a benchmark item in a document."""
+    return decontaminate.find_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """All documents in eight contiguous shards of nearly equal bytes."""
