@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from strikeline.plans.tables import settle
 
-SMALL = 12  # rows of a cell up to which every pair is checked at once
+SMALL = 12  # rows of a cell up to which every link is returned
+AT_ONCE = 64  # rows of a cell up to which every pair is checked in one sweep over all cells
 
 
 def cells(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
@@ -66,17 +67,20 @@ def close_pairs(starts: np.ndarray, n: int, close: Callable[[np.ndarray, np.ndar
     ends = np.r_[starts[1:], n]
     sizes = ends - starts
     left, right = [], []
-    small = sizes <= SMALL
-    last = np.repeat(np.where(small, ends, starts), sizes)  # rows of large cells get no partner here
+    swept, cell = sizes <= AT_ONCE, np.repeat(np.arange(len(starts)), sizes)
+    last = np.repeat(np.where(swept, ends, starts), sizes)  # rows of large cells get no partner here
+    walk = ~swept
     rows = np.arange(n)
-    for lag in range(1, SMALL):
+    for lag in range(1, AT_ONCE):
         rows = rows[rows + lag < last[rows]]
         if not len(rows):
             break
-        ok = close(rows, rows + lag)
-        left.append(rows[ok])
-        right.append(rows[ok] + lag)
-    for s, e in zip(starts[~small].tolist(), ends[~small].tolist()):
+        found = rows[close(rows, rows + lag)]
+        few = sizes[cell[found]] <= SMALL
+        left.append(found[few])
+        right.append(found[few] + lag)
+        walk[cell[found[~few]]] = True
+    for s, e in zip(starts[walk].tolist(), ends[walk].tolist()):
         waiting = np.arange(s, e)
         while len(waiting) > 1:
             queue, waiting = [int(waiting[0])], waiting[1:]

@@ -34,7 +34,8 @@ from strikeline.plans.tables import settle
 
 BITS = 64
 PIECE = 11  # bits of the value histograms
-PROBE_COST, CANDIDATE_COST = 1.0, 0.25
+#: Per row that is shuffled to a bucket (some microseconds) and per pair that meets there (some 20 to 100 nanoseconds).
+PROBE_COST, CANDIDATE_COST = 1.0, 0.05
 CELL = 8192
 
 
