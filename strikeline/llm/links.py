@@ -20,9 +20,14 @@ SMALL = 12  # rows of a cell up to which every link is returned
 AT_ONCE = 64  # rows of a cell up to which every pair is checked in one sweep over all cells
 
 
-def cells(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
-    """Add ``cell``: 0 for a bucket of ordinary size, else the numbers of the cells a row stands in."""
-    large = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most), "large")
+def cells(rows: DataFrame, key: str, member: str, most: int, counted: DataFrame | None = None) -> DataFrame:
+    """Add ``cell``: 0 for a bucket of ordinary size, else the numbers of the cells a row stands in.
+
+    ``counted``: ``key, _n`` where the sizes of buckets are known or estimated in another way; they
+    decide how the rows are dealt, not which of them meet.
+    """
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if counted is None else counted
+    large = settle(counted.where(F.col("_n") > most), "large")
     if large.isEmpty():
         return rows.withColumn("cell", F.lit(0).cast("long"))
     parts = F.coalesce(F.ceil(F.col("_n") / most), F.lit(1)).cast("long")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import decontaminate, licenses, packing, quality, sharding, simhash, tokens, warc
+from strikeline.llm import decontaminate, licenses, lines, packing, quality, sharding, simhash, tokens, warc
 from strikeline.llm.common import ship, table
 from strikeline.session import shared_dir
 
@@ -86,6 +86,12 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query("op6_lines")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of the documents with the first line of its class, and whether it stays."""
+    return lines.line_classes(table(spark, d, "documents")).drop("text_id")
+
+
 @query("op8_licenses")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     """Licence phrases and labels of every document."""
