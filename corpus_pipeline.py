@@ -10,8 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strikeline.llm import quality, simhash
+from strikeline.llm import decontaminate, lines, packing, quality, simhash
 from strikeline.llm.common import ship, table
+from strikeline.llm.queries import vocabulary
 from strikeline.session import shared_dir
 
 
@@ -21,13 +22,31 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat, or nearly repeat, an earlier line of the corpus."""
+    ship(spark)
+    return lines.drop_repeated(docs)
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship(spark)
     return simhash.keep_first(docs)
 
 
-STAGES = [("quality", clean), ("near_dedup", distinct)]
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship(spark)
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in training sequences, with their token ids."""
+    ship(spark)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", clean), ("line_dedup", without_repeated_lines), ("near_dedup", distinct), ("decontamination", uncontaminated), ("packing", packed)]
 
 #: Edit distances, fingerprints and token ids have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
