@@ -154,7 +154,7 @@ def rows_of(docs: DataFrame, sample: int = 1) -> DataFrame:
 
 def likely(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
     """The rows of each cell that have a partner with a like sketch."""
-    h, s = b.column("handle").to_numpy(), b.column("sketch").to_numpy()
+    h, s = b.column("handle").to_numpy(), b.column("sketch").to_numpy().view(np.uint64)
     n, far = len(h), 6 * MOST_EDITS
     ends = np.r_[starts[1:], n]
     sizes = ends - starts

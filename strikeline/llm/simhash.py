@@ -232,7 +232,8 @@ def links_within(prints: DataFrame, distance: int, cell: int = CELL) -> DataFram
 
     def verify(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         x = b.column(1).to_numpy()
-        left, right = close_pairs(starts, len(x), lambda i, j: np.bitwise_count(x[i] ^ x[j]) <= distance)
+        u = x.view(np.uint64)  # bits of a signed number are counted without its sign
+        left, right = close_pairs(starts, len(x), lambda i, j: np.bitwise_count(u[i] ^ u[j]) <= distance)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[left], x[right])), pa.array(np.maximum(x[left], x[right]))], names=["a", "b"])
 
     rows = prints.select("fp").mapInArrow(probe, "key long, fp long")
