@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import decontaminate, licenses, lines, packing, quality, sharding, simhash, tokens, warc
+from strikeline.llm import decontaminate, licenses, lines, packing, quality, secrets, sharding, simhash, tokens, warc
 from strikeline.llm.common import ship, table
 from strikeline.session import shared_dir
 
@@ -92,6 +92,13 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     return lines.line_classes(table(spark, d, "documents")).drop("text_id")
 
 
+@query("op7_secrets")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate for a secret in the documents, with the forest's verdict; values as checksums."""
+    x = secrets.scan(table(spark, d, "documents"))
+    return x.select("doc_id", "word_no", "kind", F.sha2("value", 256).alias("value_sha256"), "value_length", "score", "is_secret")
+
+
 @query("op8_licenses")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     """Licence phrases and labels of every document."""
