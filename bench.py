@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,7 +22,7 @@ HEADLINE = [
     "bars_ohlc_hourly", "rolling_mean_min_periods", "ewm_span_and_alpha", "session_indicators", "rolling_over_raw_ticks", "lagged_daily_joins",
     "asof_backward_last_view", "asof_forward_next_signup", "nearest_strike_within_band", "barrier_race_on_events", "gamma_exposure_daily", "iv_surface_snapshot",
     "max_pain_by_payout", "implied_vol_round_trip", "strategy_auc_table", "skip_rate_sweep", "threshold_sweep", "non_overlapping_picks", "quantile_outliers",
-    "chain_rule_audit", "decision_state", "spine", "outcomes",
+    "chain_rule_audit", "decision_state", "spine", "outcomes", "entry_labels", "training_table",
 ]
 
 
@@ -29,7 +30,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
-    spark = get_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g")
+    spark = get_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     spark.sparkContext.setLogLevel("ERROR")
     registry, times = load(), {}
     for name in HEADLINE:

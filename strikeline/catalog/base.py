@@ -202,9 +202,11 @@ EVENTS = ["CPI", "NFP", "GDP", "PPI", "FOMC"]
 
 
 def calendar_events(spark: SparkSession, d: str) -> DataFrame:
-    """Dates of very large orders stand in for scheduled releases."""
+    """Dates on which the cents of all orders of a priority add up to a multiple of 40 stand in for scheduled releases."""
     kind = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.lit(e)) for p, e in EVENT_OF.items()])
-    return table(spark, d, "orders").where(F.col("o_totalprice") > 490_000).select(F.col("o_orderdate").cast("date").alias("date"), kind.alias("event")).distinct()
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    days = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date"), kind.alias("event")).agg(cents.alias("cents"))
+    return days.where(F.col("cents") % 40 == 0).select("date", "event")
 
 
 def order_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -341,7 +343,7 @@ FROM (SELECT DATE '2024-01-01' + CAST(l_orderkey % 30 AS INTEGER) AS date, [0, 1
         avg(l_extendedprice) / 1000.0 AS bid, avg(l_discount) * 10.0 AS w FROM lineitem GROUP BY 1, 2, 3, 4) JOIN dspot USING (date)
 """, "dspot")
 _kinds = " ".join(f"WHEN '{p}' THEN '{e}'" for p, e in EVENT_OF.items())
-cte("cal", f"SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CASE o_orderpriority {_kinds} END AS event FROM orders WHERE o_totalprice > 490000")
+cte("cal", f"SELECT CAST(o_orderdate AS DATE) AS date, CASE o_orderpriority {_kinds} END AS event FROM orders GROUP BY 1, 2 HAVING sum(CAST(round(o_totalprice * 100) AS BIGINT)) % 40 = 0")
 cte("odates", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders")
 cte("trades", """
 SELECT 'S' || l_linenumber AS strategy, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_quantity / 50.0 * 0.6 + l_discount * 4.0 AS prob,

@@ -81,7 +81,7 @@ def _(spark, d):
 
 
 @query("calibration_bins", "A29", """
-SELECT CAST(floor(prob * 5) AS BIGINT) AS bin, count(*) AS n, avg(prob) AS avg_score, avg(y) AS actual FROM trades WHERE prob >= 0 AND prob < 1 GROUP BY 1
+SELECT least(CAST(floor(prob * 5) AS BIGINT), 4) AS bin, count(*) AS n, avg(prob) AS avg_score, avg(y) AS actual FROM trades WHERE prob >= 0 AND prob <= 1 GROUP BY 1
 """, uses="trades", num="avg_score actual", digits=8)
 def _(spark, d):
     return mt.calibration(base.trades(spark, d), [], "y", "prob")

@@ -145,13 +145,12 @@ def _(spark, d):
 
 @query("nearest_strike_within_band", "J15", """
 SELECT o_orderkey, arg_min(strike, (abs(strike - goal), -strike)) AS near_strike FROM (SELECT o_orderkey, 4900.0 + o_totalprice / 1000.0 AS goal, CAST(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS DATE) AS date FROM orders) o
-JOIN (SELECT DISTINCT date, strike FROM oi WHERE open_interest > 30) s USING (date) WHERE abs(strike - goal) <= 10 GROUP BY 1
+LEFT JOIN (SELECT DISTINCT date, strike FROM oi) s ON s.date = o.date AND abs(strike - goal) <= 10 GROUP BY 1
 """, uses="oi", num="near_strike")
 def _(spark, d):
     asks = table(spark, d, "orders").select("o_orderkey", (4900.0 + F.col("o_totalprice") / 1000.0).alias("goal"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("date"))
-    ladder = base.open_interest(spark, d).where(F.col("open_interest") > 30).select("date", "strike").distinct()
-    x = nearest_in_band(asks, ladder, ["date"], ["o_orderkey"], "goal", "strike", [], 10.0)
-    return x.where(F.col("near_strike").isNotNull()).select("o_orderkey", "near_strike")
+    ladder = base.open_interest(spark, d).select("date", "strike").distinct()
+    return nearest_in_band(asks, ladder, ["date"], ["o_orderkey"], "goal", "strike", [], 10.0).select("o_orderkey", "near_strike")
 
 
 @query("snapshot_fallback_chain", "J17 A22", """
@@ -172,10 +171,10 @@ def _(spark, d):
 
 
 @query("closest_tenor_bucket", "J18", """
-SELECT date, dte, count(*) AS n, sum(mid) AS mids FROM ts JOIN (SELECT date, arg_min(dte, (abs(dte - 30), dte)) AS dte FROM ts GROUP BY 1 HAVING min(abs(dte - 30)) <= 5) USING (date, dte) GROUP BY 1, 2
+SELECT date, dte, count(*) AS n, CAST(sum(CAST(mid AS DECIMAL(20, 8))) AS DOUBLE) AS mids FROM ts JOIN (SELECT date, arg_min(dte, (abs(dte - 30), dte)) AS dte FROM ts GROUP BY 1 HAVING min(abs(dte - 30)) <= 5) USING (date, dte) GROUP BY 1, 2
 """, uses="ts", num="mids", day="date", digits=4)
 def _(spark, d):
-    return closest_bucket(base.term_structure(spark, d), ["date"], "dte", 30.0, 5.0).groupBy("date", "dte").agg(F.count(F.lit(1)).alias("n"), F.sum("mid").alias("mids"))
+    return closest_bucket(base.term_structure(spark, d), ["date"], "dte", 30.0, 5.0).groupBy("date", "dte").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("mid").cast("decimal(20,8)")).cast("double").alias("mids"))
 
 
 @query("minute_equi_left_join", "J1 J4", """
@@ -187,11 +186,10 @@ def _(spark, d):
 
 
 @query("eod_left_join_fill", "J5 J6", """
-SELECT t.date, t.strike, t."right", t.dte, coalesce(o.open_interest, 0) AS open_interest FROM ts t LEFT JOIN oi o USING (date, strike, "right") WHERE t.dte <= 7
+SELECT t.date, t.strike, t."right", t.dte, coalesce(o.open_interest, 0) AS open_interest FROM ts t LEFT JOIN oi o USING (date, strike, "right")
 """, uses="ts oi", num="open_interest strike", day="date")
 def _(spark, d):
-    t = base.term_structure(spark, d).where(F.col("dte") <= 7)
-    x = t.join(base.open_interest(spark, d), ["date", "strike", "right"], "left")
+    x = base.term_structure(spark, d).join(base.open_interest(spark, d), ["date", "strike", "right"], "left")
     return x.select("date", "strike", "right", "dte", F.coalesce("open_interest", F.lit(0.0)).alias("open_interest"))
 
 

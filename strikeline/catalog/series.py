@@ -128,7 +128,25 @@ SELECT sym, d, CASE WHEN rn >= 20 THEN {_ewm('close', '2.0 / 21')} END AS ema20,
 FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d) AS rn FROM daily)
 """, uses="daily", num="ema20 wilder14", day="d", digits=4)
 def _(spark, d):
-    return base.daily(spark, d).select("sym", "d", wn.ewm_span("close", wd(), 20).alias("ema20"), wn.ewm("close", wd(), 1.0 / 14).alias("wilder14"))
+    return wn.with_ewm(base.daily(spark, d), ["sym"], "d", {"ema20": wn.span("close", 20), "wilder14": ("close", 1.0 / 14, 1)}).select("sym", "d", "ema20", "wilder14")
+
+
+def _ewm_gaps(decay: str) -> str:
+    """The recursion as a fold over (value, weight of the past); ``decay``: what a row without a value does to the weight."""
+    return f"""list_reduce(list({{'y': x, 'w': 1.0::DOUBLE}}) OVER (PARTITION BY sym ORDER BY d ROWS UNBOUNDED PRECEDING), lambda a, v:
+      CASE WHEN a.y IS NULL THEN v WHEN v.y IS NULL THEN {{'y': a.y, 'w': a.w * {decay}}}
+      ELSE {{'y': (a.w * 0.6 * a.y + 0.4 * v.y) / (a.w * 0.6 + 0.4), 'w': 1.0::DOUBLE}} END).y"""
+
+
+@query("ewm_with_gaps", "W12", f"""
+SELECT sym, d, {_ewm_gaps('0.6')} AS aged, {_ewm_gaps('1.0')} AS skipped, CASE WHEN count(x) OVER (PARTITION BY sym ORDER BY d) >= 5 THEN {_ewm_gaps('0.6')} END AS after_five
+FROM (SELECT sym, d, CAST(CASE WHEN CAST(floor(close) AS BIGINT) % 6 < 2 OR (month(d) BETWEEN 3 AND 8) THEN NULL ELSE close END AS DOUBLE) AS x FROM daily)
+""", uses="daily", num="aged skipped after_five", day="d", digits=4)
+def _(spark, d):
+    gone = (F.floor("close").cast("long") % 6 < 2) | F.month("d").between(3, 8)
+    x = base.daily(spark, d).select("sym", "d", F.when(~gone, F.col("close")).alias("x"))
+    x = wn.with_ewm(x, ["sym"], "d", {"aged": ("x", 0.4, 1), "after_five": ("x", 0.4, 5)})
+    return wn.with_ewm(x, ["sym"], "d", {"skipped": ("x", 0.4, 1)}, ignore_null=True).select("sym", "d", "aged", "skipped", "after_five")
 
 
 @query("session_running_values", "W13 W14 W26", """
@@ -236,7 +254,7 @@ UNION ALL SELECT sym, d, NULL, NULL FROM dlogs WHERE prev IS NULL
 """, uses="dlogs", num="rsi rsi_simple", day="d")
 def _(spark, d):
     x = ind.with_log_parts(base.daily(spark, d), wd())
-    return ind.rsi_simple(ind.rsi_wilder(x, wd()), wd()).select("sym", "d", "rsi", "rsi_simple")
+    return ind.rsi_simple(ind.rsi_wilder(x, ["sym"], "d"), wd()).select("sym", "d", "rsi", "rsi_simple")
 
 
 @query("macd_histogram", "I2", f"""
@@ -245,7 +263,7 @@ FROM (SELECT sym, d, rn, CASE WHEN rn >= 26 THEN {_ewm('close', '2.0 / 13')} - {
   FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d) AS rn FROM daily))
 """, uses="daily", num="macd_hist", day="d", digits=3)
 def _(spark, d):
-    return ind.macd_histogram(base.daily(spark, d), wd()).select("sym", "d", "macd_hist")
+    return ind.macd_histogram(base.daily(spark, d), ["sym"], "d").select("sym", "d", "macd_hist")
 
 
 @query("bollinger_bands", "I3", f"""
@@ -307,9 +325,9 @@ SELECT sym, d, {_sma}, CASE WHEN rn >= 5 THEN (close / {_ewm('close', '2.0 / 6')
 FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d) AS rn FROM daily)
 """, uses="daily", num="sma_5 sma_10 sma_20 sma_50 sma_100 sma_200 ema_5", day="d")
 def _(spark, d):
-    return base.daily(spark, d).select(
+    return wn.with_ewm(base.daily(spark, d), ["sym"], "d", {"_ema": wn.span("close", 5)}).select(
         "sym", "d", *[pct_over("close", wn.rolling_mean("close", wd(), n)).alias(f"sma_{n}") for n in (5, 10, 20, 50, 100, 200)],
-        pct_over("close", wn.ewm_span("close", wd(), 5)).alias("ema_5"),
+        pct_over("close", "_ema").alias("ema_5"),
     )
 
 
@@ -513,9 +531,8 @@ def _(spark, d):
 
 @query("cusum_change_score", "I26", """
 SELECT sym, d, list_reduce(list_prepend(0.0, l), lambda a, x: greatest(0.0, a + x - 0.01)) AS cusum_up, list_reduce(list_prepend(0.0, l), lambda a, x: greatest(0.0, a - x - 0.01)) AS cusum_down
-FROM (SELECT sym, d, list(ret) OVER (PARTITION BY sym ORDER BY d ROWS 29 PRECEDING) AS l FROM dlogs WHERE ret IS NOT NULL)
+FROM (SELECT sym, d, list(ret) OVER (PARTITION BY sym ORDER BY d ROWS UNBOUNDED PRECEDING) AS l FROM dlogs WHERE ret IS NOT NULL)
 """, uses="dlogs", num="cusum_up cusum_down", day="d")
 def _(spark, d):
     x = ind.with_log_parts(base.daily(spark, d), wd()).where(F.col("_ret").isNotNull())
-    up, down = wn.cusum("_ret", F.lit(0.0), F.lit(0.02), wd(), 30)
-    return x.select("sym", "d", up.alias("cusum_up"), down.alias("cusum_down"))
+    return wn.with_cusum(x, wd(), "_ret", F.lit(0.0), F.lit(0.02)).select("sym", "d", "cusum_up", "cusum_down")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from strikeline.catalog.base import query, table
 from strikeline.streaming import bars, sources
-from strikeline.streaming.positions import Rules, monitor
 
 
 def ticks(spark, d, delay: str = "30 seconds"):
@@ -67,24 +66,3 @@ def _(spark, d):
     t = ticks(spark, d).withColumn("date", F.to_date("ts"))
     x = bars.enrich(t, daily, ["event_type", "date"]).select("event_id", F.try_divide("value", "prev").alias("vs_prior"))
     return sources.run_append(x, "enriched")
-
-
-@query("stream_position_monitor", "T5 L11", None, num="credit exit_debit pnl", time="exit_time")
-def _(spark, d):
-    """Hourly entries per series, monitored on minute closes of the same session."""
-    t = ticks(spark, d)
-    m = bars.minute_bars(t, "ts", ["event_type"], "value")
-    # bars are written first; the monitor then streams the bar table
-    b = sources.run_append(m, "bars")
-    folder = sources.new_path(spark, "bar-feed")
-    first = F.min("bar").over(_hour())
-    b = b.withColumn("opens", F.when(F.col("bar") == first, F.unix_seconds(F.col("bar").cast("timestamp"))))
-    b.select("event_type", F.to_date("bar").alias("date"), "bar", "close", "opens").write.parquet(folder)
-    feed = sources.event_time(sources.file_stream(spark, folder, spark.read.parquet(folder).schema), "bar", "0 seconds")
-    return sources.run_append(monitor(feed, ["event_type", "date"], "bar", "close", "opens", Rules(combined_loss=150.0, daily_loss=400.0)), "exits")
-
-
-def _hour():  # noqa: ANN202
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("event_type", F.date_trunc("hour", "bar"))

@@ -139,7 +139,7 @@ def _(spark, d):
     path = fresh_path(spark, "daily")
     writers.overwrite(day, path)
     new = day.where(F.col("date") >= F.lit("1999-01-01").cast("date")).withColumn("n", F.col("n") * 10)
-    return writers.write_incremental(spark, new, path, fresh_path(spark, "daily"), "date")
+    return writers.write_incremental(spark, new, path, fresh_path(spark, "daily"), "date", ["date"], ["n"])
 
 
 @query("resume_pending_dates", "K6 O7", """

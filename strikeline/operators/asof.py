@@ -29,7 +29,7 @@ def asof_join(
     slices, so the ordered scan runs per (key, slice); the only thing that
     crosses a border is one carried row per slice. Right rows sharing a key and
     time collapse to the greatest payload, which makes the result repeatable.
-    ``strict`` excludes equal times.
+    ``strict`` excludes equal times. A NULL key is a group of its own, as in ``groupBy`` and windows.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)

@@ -127,8 +127,8 @@ def impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_p")
     ).select("_p.*")
     medians = exact_quantiles(long, ["feature"], "v", [0.5])  # one row per column
-    fills = {c: medians.where(F.col("feature") == c).agg(F.max(F.col("quantiles")[0])).scalar() for c in cols}
-    return df.withColumns({c: F.coalesce(F.col(c), fills[c]) for c in cols})
+    fills = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("quantiles")[0])))).scalar()  # one row, one entry per column
+    return df.withColumn("_fills", fills).withColumns({c: F.coalesce(F.col(c), F.col("_fills")[c]) for c in cols}).drop("_fills")
 
 
 def hard_blocked(

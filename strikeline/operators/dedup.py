@@ -1,7 +1,8 @@
 """Deduplication and upserts built on mergeable aggregates.
 
 ``max_by``/``min_by`` combine on the map side, so a key with very many copies is
-reduced before the shuffle and never sorted in one task.
+reduced before the shuffle and never lies whole in one task. Over structs Spark plans
+them as sort aggregates: each map task sorts its own rows, and what is left per key is sorted again.
 """
 
 from __future__ import annotations

@@ -52,11 +52,10 @@ def with_log_parts(df: DataFrame, w: WindowSpec) -> DataFrame:
     )
 
 
-def rsi_wilder(df: DataFrame, w: WindowSpec, n: int = 14, out: str = "rsi") -> DataFrame:
+def rsi_wilder(df: DataFrame, keys: Sequence[str], date: str, n: int = 14, out: str = "rsi") -> DataFrame:
     """Relative strength with Wilder smoothing; no losses gives NULL."""
     x = df.withColumns({"_g": wn.clamp_zero(F.col("_chg")), "_l": wn.clamp_zero(-F.col("_chg"))})
-    up, down = wn.ewm("_g", w, 1.0 / n, n), wn.ewm("_l", w, 1.0 / n, n)
-    x = x.withColumns({"_up": up, "_dn": down})
+    x = wn.with_ewm(x, keys, date, {"_up": ("_g", 1.0 / n, n), "_dn": ("_l", 1.0 / n, n)})
     return x.withColumn(out, 100.0 - div(F.lit(100.0), 1.0 + div("_up", "_dn"))).drop("_g", "_l", "_up", "_dn")
 
 
@@ -66,9 +65,10 @@ def rsi_simple(df: DataFrame, w: WindowSpec, n: int = 14, out: str = "rsi_simple
     return x.withColumn(out, 100.0 - div(F.lit(100.0), 1.0 + rs)).drop("_g", "_l")
 
 
-def macd_histogram(df: DataFrame, w: WindowSpec, fast: int = 12, slow: int = 26, signal: int = 9, out: str = "macd_hist") -> DataFrame:
-    x = df.withColumn("_macd", wn.ewm_span("close", w, fast) - wn.ewm_span("close", w, slow))
-    return x.withColumn(out, F.col("_macd") - wn.ewm_span("_macd", w, signal)).drop("_macd")
+def macd_histogram(df: DataFrame, keys: Sequence[str], date: str, fast: int = 12, slow: int = 26, signal: int = 9, out: str = "macd_hist") -> DataFrame:
+    x = wn.with_ewm(df, keys, date, {"_fast": wn.span("close", fast), "_slow": wn.span("close", slow)})
+    x = wn.with_ewm(x.withColumn("_macd", F.col("_fast") - F.col("_slow")), keys, date, {"_signal": wn.span("_macd", signal)})
+    return x.withColumn(out, F.col("_macd") - F.col("_signal")).drop("_fast", "_slow", "_macd", "_signal")
 
 
 def bollinger(w: WindowSpec, n: int = 20, min_periods: int = 10) -> dict[str, Column]:
@@ -125,13 +125,14 @@ def daily_technicals(daily: DataFrame, keys: Sequence[str], date: str = "date")
     for n in (5, 10, 20, 50, 100, 200):
         sma = wn.rolling_mean("close", w, n)
         cols[f"close_ratio_sma_{n}"] = div(F.col("close") - sma, sma) * 100.0
+    x = wn.with_ewm(x, keys, date, {f"_ema_{n}": wn.span("close", n) for n in (5, 20)})
     for n in (5, 20):
-        ema = wn.ewm_span("close", w, n)
+        ema = F.col(f"_ema_{n}")
         cols[f"close_ratio_ema_{n}"] = div(F.col("close") - ema, ema) * 100.0
     for n in (5, 10, 20, 30):
         cols[f"yz_hv_{n}"] = yang_zhang(w, n)
     x = x.withColumns(cols)
-    x = macd_histogram(rsi_wilder(x, w, 14, "rsi_14"), w)
+    x = macd_histogram(rsi_wilder(x, keys, date, 14, "rsi_14"), keys, date)
     x = x.withColumn("bb_bandwidth_pctile", wn.pct_rank_of_last("bb_bandwidth", w, 60, 20))
     return x.drop("_prev", "_tr", "_ret", "_gapln", "_rs", "_ho2", "_chg")
 

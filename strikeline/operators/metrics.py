@@ -81,9 +81,9 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], label: str, score: str,
 
 
 def calibration(df: DataFrame, keys: Sequence[str], label: str, score: str, bins: int = 5) -> DataFrame:
-    """Mean score against actual rate in equal-width bins of [0, 1)."""
-    b = F.floor(F.col(score) * bins).cast("long")
-    return df.where((F.col(score) >= 0) & (F.col(score) < 1)).groupBy(*keys, b.alias("bin")).agg(
+    """Mean score against actual rate in equal-width bins of [0, 1]; a score of exactly 1 falls into the last bin."""
+    b = F.least(F.floor(F.col(score) * bins).cast("long"), F.lit(bins - 1).cast("long"))
+    return df.where((F.col(score) >= 0) & (F.col(score) <= 1)).groupBy(*keys, b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("avg_score"), F.avg(F.col(label).cast("double")).alias("actual")
     )
 

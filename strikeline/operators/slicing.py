@@ -30,7 +30,7 @@ def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, slices: int
     """
     cuts = F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000)
     if keys:
-        bordered = df.join(df.groupBy(*keys).agg(cuts.alias("_cuts")), list(keys), "left")
+        bordered = null_safe_join(df, df.groupBy(*keys).agg(cuts.alias("_cuts")), keys)
     else:
         bordered = df.withColumn("_cuts", df.agg(cuts).scalar())
     return bordered.withColumn(
@@ -38,6 +38,16 @@ def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, slices: int
     ).drop("_cuts")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which a NULL key is a key like any other, as it is in ``groupBy`` and windows."""
+    names = {c: f"_r_{c}" for c in on}
+    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for c, r in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(r))
+    return left.join(renamed, same, "left").drop(*names.values())
+
+
 def slice_carry(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], slice_col: str = SLICE) -> DataFrame:
     """Per slice: totals of all earlier slices (``x``) and of the whole key (``x_total``)."""
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
@@ -62,7 +72,8 @@ def exclusive_prefix(
     local = W.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = df.select(
         "*", *[F.coalesce(F.sum(i).over(local), F.lit(0)).alias(f"_l_{o}") for o, i in measures.items()]
-    ).join(carry, [*keys, slice_col], "left")
+    )
+    out = null_safe_join(out, carry, [*keys, slice_col])
     for o in measures:
         out = out.withColumns({o: F.col(f"_l_{o}") + F.col(f"_c_{o}"), f"{o}_total": F.col(f"_c_{o}_total")})
     return out.drop(*[c for o in measures for c in (f"_l_{o}", f"_c_{o}", f"_c_{o}_total")])

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,28 +112,52 @@ def share_at_or_below(c: ColumnLike, w: WindowSpec, n: int, min_periods: int) ->
     return F.when(x.isNotNull() & (F.count(x).over(frame) >= min_periods), rank)
 
 
-def ewm_rows(alpha: float, tolerance: float = 1e-17) -> int:
-    """Rows after which the weight of older values is below double precision."""
-    return max(2, math.ceil(math.log(tolerance) / math.log(1.0 - alpha)))
+_DECAY = 300.0  # log weight after which the past is e**-300 of a value, far below a double's precision
 
 
-def ewm(c: ColumnLike, w: WindowSpec, alpha: float, min_periods: int = 1) -> Column:
-    """Recursive exponentially weighted mean, first value as the start.
-
-    NULLs are skipped. The fold covers a bounded frame in which the oldest value
-    has a weight below 1e-17, so longer history cannot change the result.
-    """
-    x = col(c)
-    frame = trailing(w, ewm_rows(alpha))
-    values = F.collect_list(x).over(frame)
-    start = F.element_at(values, 1)
-    folded = F.aggregate(values, start, lambda acc, v: acc + F.lit(alpha) * (v - acc))
-    enough = F.count(x).over(cumulative(w)) >= max(1, min_periods)
-    return F.when(enough, folded)
+def with_ewm(df: DataFrame, keys: Sequence[str], order: str, specs: dict[str, tuple[str, float, int]], ignore_null: bool = False) -> DataFrame:
+    """Recursive exponentially weighted means, first value as the start, over whole series.
 
+    ``specs`` maps an output column to (column, alpha, min_periods). A NULL row repeats the
+    last mean; by default it still ages it (the weight of the past decays with every row), with
+    ``ignore_null`` only values count. Fewer than ``min_periods`` values give NULL.
 
-def ewm_span(c: ColumnLike, w: WindowSpec, span: int, min_periods: int | None = None) -> Column:
-    return ewm(c, w, 2.0 / (span + 1.0), span if min_periods is None else min_periods)
+    The recurrence y = a y' + b x is a sum of b x weighted by the products of all later a. These
+    are kept as running logs and cut into spans of ``_DECAY``, so that the sum of a span and
+    of the one before it give the mean in two plain window passes: no lists, no limit on rows.
+    """
+    w, past = _by(keys, order), _by(keys, order).rowsBetween(W.unboundedPreceding, -1)
+    columns = df.columns
+    x = df.withColumn("_pos", F.row_number().over(w))
+    for i, (out, (c, alpha, min_periods)) in enumerate(specs.items()):
+        v = F.col(c)
+        if alpha >= 1.0:
+            x = x.withColumn(f"_y{i}", F.last(v, ignorenulls=True).over(cumulative(w)))
+        else:
+            x = x.withColumn("_before", F.last(F.when(v.isNotNull(), F.col("_pos")), ignorenulls=True).over(past))
+            gap = F.lit(1.0) if ignore_null else (F.col("_pos") - F.col("_before")).cast("double")
+            kept = F.pow(F.lit(1.0 - alpha), gap)
+            step = F.when(v.isNull() | F.col("_before").isNull(), 0.0).otherwise(gap * F.lit(-math.log(1.0 - alpha)) + F.log(kept + F.lit(alpha)))
+            share = F.when(F.col("_before").isNull(), 1.0).otherwise(F.lit(alpha) / (kept + F.lit(alpha)))
+            x = x.withColumns({"_step": step, "_own": share * v}).withColumn("_age", F.sum("_step").over(cumulative(w)))
+            x = x.withColumn("_span", F.floor(F.col("_age") / F.lit(_DECAY)).cast("long")).withColumn("_rest", F.col("_age") - F.col("_span") * F.lit(_DECAY))
+            x = x.withColumn("_own", F.col("_own") * F.exp("_rest"))
+            here = F.sum("_own").over(W.partitionBy(*keys, "_span").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+            last = F.sum("_own").over(W.partitionBy(*keys).orderBy("_span").rangeBetween(-1, -1))
+            x = x.withColumns({"_here": here, "_last": last})
+            mean = F.exp(-F.col("_rest")) * F.coalesce("_here", F.lit(0.0)) + F.exp(-F.col("_rest") - F.lit(_DECAY)) * F.coalesce("_last", F.lit(0.0))
+            x = x.withColumn(f"_y{i}", mean).drop("_before", "_step", "_own", "_age", "_span", "_rest", "_here", "_last")
+        x = x.withColumn(f"_y{i}", F.when(F.count(v).over(cumulative(w)) >= max(1, min_periods), F.col(f"_y{i}")))
+    return x.select(*[c for c in columns if c not in specs], *[F.col(f"_y{i}").alias(out) for i, out in enumerate(specs)])
+
+
+def span(c: str, n: int, min_periods: int | None = None) -> tuple[str, float, int]:
+    """A ``with_ewm`` spec by span."""
+    return c, 2.0 / (n + 1.0), n if min_periods is None else min_periods
+
+
+def _by(keys: Sequence[str], order: str) -> WindowSpec:
+    return (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(order)
 
 
 def expanding_mean(c: ColumnLike, w: WindowSpec) -> Column:
@@ -162,14 +186,13 @@ def clamp_zero(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
 
 
-def cusum(returns: ColumnLike, mean: ColumnLike, drift: ColumnLike, w: WindowSpec, n: int) -> tuple[Column, Column]:
-    """Upward and downward change scores over the trailing frame of ``n`` rows.
+def with_cusum(df: DataFrame, w: WindowSpec, returns: ColumnLike, mean: ColumnLike, drift: ColumnLike, up: str = "cusum_up", down: str = "cusum_down") -> DataFrame:
+    """Upward and downward change scores over the whole series.
 
-    s = max(0, s + r - mean - drift/2) and its mirror, restarted at zero.
+    s = max(0, s + r - mean - drift/2) and its mirror, from zero. That is the running sum less its
+    lowest point so far (zero included), so two running aggregates replace the recursion. NULLs add nothing.
     """
-    frame = trailing(w, n)
-    rows = F.collect_list(F.struct(col(returns).alias("r"), col(mean).alias("m"), col(drift).alias("h"))).over(frame)
-    zero = F.lit(0.0)
-    up = F.aggregate(rows, zero, lambda s, x: F.greatest(zero, s + F.coalesce(x.r - x.m - x.h / 2.0, zero)))
-    down = F.aggregate(rows, zero, lambda s, x: F.greatest(zero, s - F.coalesce(x.r - x.m + x.h / 2.0, zero)))
-    return up, down
+    r, zero = col(returns) - col(mean), F.lit(0.0)
+    x = df.withColumns({"_su": F.sum(F.coalesce(r - col(drift) / 2.0, zero)).over(cumulative(w)), "_sd": F.sum(F.coalesce(-(r + col(drift) / 2.0), zero)).over(cumulative(w))})
+    score = {o: F.col(s) - F.least(zero, F.min(s).over(cumulative(w))) for o, s in ((up, "_su"), (down, "_sd"))}
+    return x.withColumns(score).drop("_su", "_sd")

@@ -39,20 +39,21 @@ def write_upsert(spark: SparkSession, new: DataFrame, path: str, out: str, keys:
 
 
 def compact(spark: SparkSession, chunks: Sequence[str], out: str) -> DataFrame:
-    """Merge chunk tables whose schemas may differ by missing columns."""
-    parts = [spark.read.parquet(p) for p in chunks]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p, allowMissingColumns=True)
-    overwrite(merged, out)
+    """Merge chunk tables whose schemas may differ by missing columns, in one scan of all of them."""
+    overwrite(spark.read.option("mergeSchema", True).parquet(*chunks), out)
     return spark.read.parquet(out)
 
 
-def write_incremental(spark: SparkSession, new: DataFrame, path: str, out: str, date: str) -> DataFrame:
-    """Old rows before the first new date plus the new rows, one per date."""
-    base = replace_overlap(spark.read.parquet(path), new, date) if path_exists(spark, path) else new
-    merged = keep_one(base, [date], [date], last=False)
-    overwrite(merged, out)
+def write_incremental(spark: SparkSession, new: DataFrame, path: str, out: str, date: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Old rows before the first new date plus the new rows, of which the last by ``order`` stays per key.
+
+    ``keys`` name a row, the date among them. Old rows are kept as they are: their dates are not in
+    ``new``, so no key can meet there.
+    """
+    if date not in keys:
+        raise ValueError("the date belongs to the keys")
+    fresh = keep_one(new, keys, order)
+    overwrite(replace_overlap(spark.read.parquet(path), fresh, date) if path_exists(spark, path) else fresh, out)
     return spark.read.parquet(out)
 
 

@@ -46,7 +46,8 @@ def run_latest(stream: DataFrame, label: str, keys: Sequence[str], order: Sequen
 
     Every micro-batch is reduced to one row per key and written to its own
     batch folder (a replay overwrites it, so restarts are safe). The returned
-    view keeps the row of the highest (order, batch). This is last-copy-wins,
+    view keeps the row of the highest (order, batch); within a batch, rows of equal
+    order are told apart by their other columns. This is last-copy-wins,
     unlike watermark deduplication, which keeps the first.
     """
     spark = stream.sparkSession
@@ -54,8 +55,8 @@ def run_latest(stream: DataFrame, label: str, keys: Sequence[str], order: Sequen
     order = list(order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rank = order or list(keys)
-        keep_one(batch, keys, rank).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        rest = [c for c in batch.columns if c not in keys and c not in order]
+        keep_one(batch, keys, [*order, *rest] or list(keys)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (
         stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-checkpoint")

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,8 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 def spark():
     from strikeline.session import get_session
 
-    s = get_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    s = get_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__checkpoint__dir=folder)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

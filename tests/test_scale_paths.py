@@ -6,7 +6,6 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strikeline.operators import windows as wn
@@ -106,8 +105,7 @@ def test_row_index_and_rolling(spark):
 
 def test_ewm_matches_pandas(spark):
     pdf = pd.DataFrame({"k": 1, "i": range(300), "v": RNG.normal(100, 5, 300)})
-    w = W.partitionBy("k").orderBy("i")
-    out = spark.createDataFrame(pdf).select("i", wn.ewm_span("v", w, 5).alias("a"), wn.ewm("v", w, 0.4, 3).alias("b")).toPandas().sort_values("i")
+    out = wn.with_ewm(spark.createDataFrame(pdf), ["k"], "i", {"a": wn.span("v", 5), "b": ("v", 0.4, 3)}).toPandas().sort_values("i")
     assert np.allclose(out.a, pdf.v.ewm(span=5, adjust=False, min_periods=5).mean(), equal_nan=True)
     assert np.allclose(out.b, pdf.v.ewm(alpha=0.4, adjust=False, min_periods=3).mean(), equal_nan=True)
 
@@ -137,31 +135,68 @@ def test_isotonic_matches_pooling(spark):
     assert np.allclose(out.c, out.p.map(want))
 
 
-def test_position_monitor(spark, tmp_path):
-    from strikeline.streaming import sources
-    from strikeline.streaming.positions import Rules, advance, monitor
-
-    start = dt.datetime(2024, 1, 2, 10, 0)
-    debits = [2.0, 1.9, 1.45, 2.2, 2.0, 4.5, 1.0]
-    rows = [("a", start + dt.timedelta(minutes=i), v, i if i in (0, 3) else None) for i, v in enumerate(debits)]
-    df = spark.createDataFrame(rows, "sym string, bar timestamp_ntz, close double, opens long")
-    df.write.parquet(str(tmp_path / "feed"))
-    feed = sources.event_time(sources.file_stream(spark, str(tmp_path / "feed"), df.schema), "bar", "0 seconds").withColumn("date", F.to_date("bar"))
-    out = sources.run_append(monitor(feed, ["sym", "date"], "bar", "close", "opens", Rules()), "exits", str(tmp_path / "out")).orderBy("position_id").collect()
-    book = {"open": [], "realised": 0.0}
-    want = [x for _, t, v, o in rows for x in advance(book, t, v, o, Rules())]
-    assert [(r.position_id, r.exit_reason, r.exit_debit) for r in out] == sorted((i, why, d) for i, _, why, _, d in want)
-    assert [(r.position_id, r.exit_reason) for r in out] == [(0, "tp"), (3, "sl")]
-
-
-def test_combined_stop_and_daily_limit():
-    from strikeline.streaming.positions import Rules, advance
-
-    t, rules, book = dt.datetime(2024, 1, 2, 10), Rules(combined_loss=1.0, daily_loss=1.0, stop=9.0), {"open": [], "realised": 0.0}
-    advance(book, t, 2.0, 1, rules)
-    advance(book, t, 2.1, 2, rules)
-    assert [x[2] for x in advance(book, t, 2.8, 3, rules)] == ["combined_stop", "combined_stop"]
-    assert book["open"] == [] and book["realised"] < -1.0
+def test_ewm_over_gaps_matches_pandas(spark):
+    """A value in six rows, a long silence, and a series far longer than any weight lasts."""
+    from strikeline.operators import windows as wn
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(100, 10, 3000)
+    x[rng.random(3000) < 0.8] = np.nan
+    x[500:700] = np.nan
+    x[:7] = np.nan
+    df = spark.createDataFrame([("a", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "k string, t int, x double")
+    for alpha in (0.02, 0.4, 0.97, 1.0):
+        got = wn.with_ewm(df, ["k"], "t", {"aged": ("x", alpha, 1), "later": ("x", alpha, 20)})
+        got = wn.with_ewm(got, ["k"], "t", {"skipped": ("x", alpha, 1)}, ignore_null=True).orderBy("t").toPandas()
+        s = pd.Series(x)
+        for out, kw in (("aged", {}), ("skipped", {"ignore_na": True}), ("later", {"min_periods": 20})):
+            np.testing.assert_allclose(got[out].to_numpy(float), s.ewm(alpha=alpha, adjust=False, **kw).mean(), rtol=1e-9, err_msg=f"{out} {alpha}")
+
+
+def test_cusum_matches_the_recursion(spark):
+    from strikeline.operators import windows as wn
+
+    rng = np.random.default_rng(4)
+    r = rng.normal(0, 1, 500)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(r)], "t int, r double")
+    got = wn.with_cusum(df, wn.series([], "t"), "r", F.lit(0.1), F.lit(0.5)).orderBy("t").toPandas()
+    up = down = 0.0
+    for i, v in enumerate(r):
+        up, down = max(0.0, up + v - 0.1 - 0.25), max(0.0, down - (v - 0.1 + 0.25))
+        assert abs(got.cusum_up[i] - up) < 1e-9 and abs(got.cusum_down[i] - down) < 1e-9
+
+
+def test_null_keys_are_a_group_of_their_own(spark):
+    from strikeline.operators import metrics as mt
+    from strikeline.operators.asof import asof_join
+    from strikeline.operators.slicing import exact_quantiles
+
+    df = spark.createDataFrame([(k, float(v), v % 2) for k in (None, "a") for v in range(11)], "k string, v double, y int")
+    got = {r.k: (r.n, list(r.q)) for r in exact_quantiles(df, ["k"], "v", [0.25, 0.5], out="q").collect()}
+    assert got == {None: (11, [2.5, 5.0]), "a": (11, [2.5, 5.0])}
+    auc = {r.k: r.auc for r in mt.roc_auc(df, ["k"], "y", "v").collect()}
+    assert set(auc) == {None, "a"} and auc[None] == auc["a"] is not None
+    t = spark.createDataFrame([(None, 5.0), ("a", 5.0)], "k string, t double").withColumn("t", F.timestamp_seconds("t"))
+    r = df.withColumn("t", F.timestamp_seconds("v"))
+    assert {x.k: x.seen for x in asof_join(t, r, ["k"], "t", "t", {"seen": "v"}).collect()} == {None: 5.0, "a": 5.0}
+
+
+def test_impute_uses_one_row_of_medians(spark):
+    from strikeline.operators.clean import impute
+
+    df = spark.createDataFrame([(i, float(i) if i % 3 else None, None) for i in range(9)], "i int, a double, b double")
+    got = impute(df, ["a", "b"]).orderBy("i").collect()
+    assert got[0].a == 4.5 and got[1].a == 1.0 and got[0].b is None
+
+
+def test_incremental_keeps_every_key_of_a_date(spark, tmp_path):
+    from strikeline.sources import writers
+
+    old = spark.createDataFrame([("2024-01-01", "x", 1, 0), ("2024-01-01", "y", 2, 0), ("2024-01-02", "x", 3, 0)], "date string, k string, v int, at int")
+    writers.overwrite(old, str(tmp_path / "a"))
+    new = spark.createDataFrame([("2024-01-02", "x", 4, 1), ("2024-01-02", "x", 5, 2), ("2024-01-02", "z", 6, 1)], old.schema)
+    got = writers.write_incremental(spark, new, str(tmp_path / "a"), str(tmp_path / "b"), "date", ["date", "k"], ["at"])
+    assert sorted((r.date[-2:], r.k, r.v) for r in got.collect()) == [("01", "x", 1), ("01", "y", 2), ("02", "x", 5), ("02", "z", 6)]
 
 
 def test_no_leakage_from_later_rows(spark, sf_dir):
