@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from strikeline.catalog import base
@@ -30,77 +28,85 @@ def _(spark, d):
 
 _strats = ", ".join(f"('IC_{d:02d}d_25w', {d / 100.0}, 25.0)" for d in range(5, 50, 5))
 cte("strats", f"SELECT * FROM (VALUES {_strats}) AS t(strategy, delta, wing)")
-cte("ent", """
-SELECT * FROM state WHERE hour(decision_datetime) BETWEEN 10 AND 14 AND spx_close IS NOT NULL
-""", "state")
-cte("scp", """
+# Two variants of the race share their statements: entries of the decision state (no suffix), and
+# entries at the quote minute itself (suffix 1).
+
+
+def _race_ctes(x: str, entries: str, unique: bool, ends: str) -> None:
+    """CTEs from entries to outcomes. A minute's quotes are maps from strike to value, so that legs and
+    paths need one join on the minute or the day instead of one for each leg."""
+    cte(f"ent{x}", f"SELECT * FROM state{x} WHERE {entries}", f"state{x}")
+    cte(f"quotes{x}", f"""
+SELECT date, decision_datetime AS t, map(list(strike), list(call_mid_close)) AS cm, map(list(strike), list(put_mid_close)) AS pm,
+  map(list(strike), list(call_delta)) AS cd, map(list(strike), list(put_delta)) AS pd, map(list(strike), list(call_implied_vol)) AS ci, map(list(strike), list(put_implied_vol)) AS pi
+FROM state{x} GROUP BY 1, 2
+""", f"state{x}")
+    cte(f"scp{x}", f"""
 SELECT decision_datetime, date, spx_close, strategy, wing, delta, arg_min(strike, (abs(call_delta - delta), strike)) AS sc
-FROM ent, strats WHERE call_delta > 0 AND call_delta < 1 AND call_bid_close > 0 GROUP BY ALL
-""", "ent strats")
-cte("spp", """
+FROM ent{x}, strats WHERE call_delta > 0 AND call_delta < 1 AND call_bid_close > 0 GROUP BY ALL
+""", f"ent{x} strats")
+    cte(f"spp{x}", f"""
 SELECT decision_datetime, strategy, arg_min(strike, (abs(put_delta + delta), strike)) AS sp
-FROM ent, strats WHERE put_delta < 0 AND put_delta > -1 AND put_bid_close > 0 GROUP BY ALL
-""", "ent strats")
-cte("shorts", """
-SELECT a.*, b.sp FROM scp a JOIN spp b USING (decision_datetime, strategy) WHERE b.sp < a.spx_close AND a.spx_close < a.sc
-""", "scp spp")
-cte("longs", """
+FROM ent{x}, strats WHERE put_delta < 0 AND put_delta > -1 AND put_bid_close > 0 GROUP BY ALL
+""", f"ent{x} strats")
+    cte(f"shorts{x}", f"""
+SELECT a.*, b.sp FROM scp{x} a JOIN spp{x} b USING (decision_datetime, strategy) WHERE b.sp < a.spx_close AND a.spx_close < a.sc
+""", f"scp{x} spp{x}")
+    cte(f"longs{x}", f"""
 SELECT s.decision_datetime, s.strategy,
   arg_min(e.strike, (abs(e.strike - (s.sc + s.wing)), -e.strike)) FILTER (e.call_bid_close > 0 AND abs(e.strike - (s.sc + s.wing)) <= 10) AS lc,
   arg_min(e.strike, (abs(e.strike - (s.sp - s.wing)), -e.strike)) FILTER (e.put_bid_close > 0 AND abs(e.strike - (s.sp - s.wing)) <= 10) AS lp
-FROM shorts s JOIN ent e USING (decision_datetime) GROUP BY ALL
-""", "shorts ent")
-cte("spine_all", """
+FROM shorts{x} s JOIN ent{x} e USING (decision_datetime) GROUP BY ALL
+""", f"shorts{x} ent{x}")
+    cte(f"spine_all{x}", f"""
 SELECT s.decision_datetime, s.date, s.strategy, s.delta AS target, s.spx_close AS spx_prev_min_close, s.sc AS short_call, s.sp AS short_put, l.lc AS long_call, l.lp AS long_put,
-  l.lc - s.sc AS call_wing_width, s.sp - l.lp AS put_wing_width, a.call_delta AS sc_delta, b.put_delta AS sp_delta, a.call_implied_vol AS sc_iv, b.put_implied_vol AS sp_iv,
-  a.call_mid_close + b.put_mid_close - c.call_mid_close - e.put_mid_close AS raw_credit
-FROM shorts s JOIN longs l USING (decision_datetime, strategy)
-JOIN ent a ON a.decision_datetime = s.decision_datetime AND a.strike = s.sc JOIN ent b ON b.decision_datetime = s.decision_datetime AND b.strike = s.sp
-JOIN ent c ON c.decision_datetime = s.decision_datetime AND c.strike = l.lc JOIN ent e ON e.decision_datetime = s.decision_datetime AND e.strike = l.lp
-""", "shorts longs ent")
-cte("spine", """
+  l.lc - s.sc AS call_wing_width, s.sp - l.lp AS put_wing_width, q.cd[s.sc] AS sc_delta, q.pd[s.sp] AS sp_delta, q.ci[s.sc] AS sc_iv, q.pi[s.sp] AS sp_iv,
+  q.cm[s.sc] + q.pm[s.sp] - q.cm[l.lc] - q.pm[l.lp] AS raw_credit
+FROM shorts{x} s JOIN longs{x} l USING (decision_datetime, strategy) JOIN quotes{x} q ON q.t = s.decision_datetime
+WHERE l.lc IS NOT NULL AND l.lp IS NOT NULL
+""", f"shorts{x} longs{x} quotes{x}")
+    rank = "row_number() OVER (PARTITION BY decision_datetime, short_call, short_put, long_call, long_put ORDER BY target DESC)" if unique else "1"
+    cte(f"spine{x}", f"""
 SELECT * EXCLUDE (target, raw_credit, rn), round(raw_credit, 4) AS credit FROM (
-  SELECT *, row_number() OVER (PARTITION BY decision_datetime, short_call, short_put, long_call, long_put ORDER BY target DESC) AS rn
-  FROM spine_all WHERE call_wing_width > 0 AND put_wing_width > 0 AND raw_credit > 0) WHERE rn = 1
-""", "spine_all")
-
-
-@query("spine", "L2 J14 J15 P13 O1 O4 F17 W25", "SELECT * FROM spine", uses="spine", num="spx_prev_min_close sc_delta sp_delta sc_iv sp_iv credit", day="date", time="decision_datetime")
-def _(spark, d):
-    return build_spine(state(spark, d))
-
-
-cte("legs", """
-SELECT DISTINCT date, short_call, short_put, long_call, long_put FROM spine
-""", "spine")
-cte("paths", """
-SELECT l.*, a.decision_datetime AS t, a.call_mid_close + b.put_mid_close - c.call_mid_close - e.put_mid_close AS debit FROM legs l
-JOIN state a ON a.date = l.date AND a.strike = l.short_call
-JOIN state b ON b.date = l.date AND b.strike = l.short_put AND b.decision_datetime = a.decision_datetime
-JOIN state c ON c.date = l.date AND c.strike = l.long_call AND c.decision_datetime = a.decision_datetime
-JOIN state e ON e.date = l.date AND e.strike = l.long_put AND e.decision_datetime = a.decision_datetime
-""", "legs state")
-cte("ends", """
-SELECT date, coalesce(max(decision_datetime) FILTER (hour(decision_datetime) = 15 AND minute(decision_datetime) = 0), max(decision_datetime)) AS z FROM state GROUP BY 1
-""", "state")
-cte("races", """
-SELECT s.decision_datetime, s.strategy, s.date, s.credit, lv.tp, min(p.t) FILTER (p.debit >= 2.0 * s.credit) AS st, min(p.t) FILTER (p.debit <= s.credit * (1.0 - lv.tp)) AS pt,
-  max(p.t) AS lt, arg_min(p.debit, p.t) FILTER (p.debit >= 2.0 * s.credit) AS sv, arg_min(p.debit, p.t) FILTER (p.debit <= s.credit * (1.0 - lv.tp)) AS pv, arg_max(p.debit, p.t) AS lv_
-FROM spine s JOIN ends USING (date) JOIN paths p USING (date, short_call, short_put, long_call, long_put), (SELECT unnest([0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5]) AS tp) lv
-WHERE p.t > s.decision_datetime AND p.t <= z GROUP BY ALL
-""", "spine ends paths")
-cte("touched", """
-SELECT *, st IS NOT NULL AND (pt IS NULL OR st <= pt) AS hit_sl, pt IS NOT NULL AND (st IS NULL OR pt < st) AS hit_tp FROM races
-""", "races")
-cte("outcomes", """
-SELECT decision_datetime, strategy, date, credit, tp,
+  SELECT *, {rank} AS rn FROM spine_all{x} WHERE call_wing_width > 0 AND put_wing_width > 0 AND raw_credit > 0) WHERE rn = 1
+""", f"spine_all{x}")
+    cte(f"ends{x}", ends, f"state{x}")
+    cte(f"legs{x}", f"SELECT DISTINCT date, short_call, short_put, long_call, long_put FROM spine{x}", f"spine{x}")
+    cte(f"paths{x}", f"""
+SELECT * FROM (SELECT l.*, q.t, q.cm[l.short_call] + q.pm[l.short_put] - q.cm[l.long_call] - q.pm[l.long_put] AS debit FROM legs{x} l JOIN quotes{x} q USING (date)) WHERE debit IS NOT NULL
+""", f"legs{x} quotes{x}")
+    reach = [f"p.debit <= s.credit * (1.0 - {tp})" for tp in TP]
+    cte(f"races{x}", f"""
+SELECT s.decision_datetime, s.strategy, s.date, s.credit, max(p.t) AS lt, arg_max(p.debit, p.t) AS lv_,
+  min(p.t) FILTER (p.debit >= 2.0 * s.credit) AS st, arg_min(p.debit, p.t) FILTER (p.debit >= 2.0 * s.credit) AS sv,
+  [{", ".join(f"min(p.t) FILTER ({r})" for r in reach)}] AS pts, [{", ".join(f"arg_min(p.debit, p.t) FILTER ({r})" for r in reach)}] AS pvs
+FROM spine{x} s JOIN ends{x} USING (date) JOIN paths{x} p USING (date, short_call, short_put, long_call, long_put)
+WHERE p.t > s.decision_datetime AND p.t <= z GROUP BY s.decision_datetime, s.strategy, s.date, s.credit
+""", f"spine{x} ends{x} paths{x}")
+    cte(f"touched{x}", f"""
+SELECT *, st IS NOT NULL AND (pt IS NULL OR st <= pt) AS hit_sl, pt IS NOT NULL AND (st IS NULL OR pt < st) AS hit_tp
+FROM (SELECT * EXCLUDE (pts, pvs), unnest([{", ".join(TP)}]) AS tp, unnest(pts) AS pt, unnest(pvs) AS pv FROM races{x})
+""", f"races{x}")
+    cte(f"outcomes{x}", f"""
+SELECT decision_datetime, strategy, date, credit, tp, lt,
   CAST(CASE WHEN hit_sl THEN 0 WHEN hit_tp THEN 1 WHEN lv_ < credit THEN 1 ELSE 0 END AS BIGINT) AS target,
   CASE WHEN hit_sl THEN 'sl' WHEN hit_tp THEN 'tp' WHEN lv_ < credit THEN 'close_win' ELSE 'close_loss' END AS exit_reason,
   CASE WHEN hit_sl THEN st WHEN hit_tp THEN pt ELSE lt END AS exit_time,
   round(CASE WHEN hit_sl THEN sv WHEN hit_tp THEN pv ELSE lv_ END, 4) AS exit_debit,
   round(credit - CASE WHEN hit_sl THEN sv WHEN hit_tp THEN pv ELSE lv_ END, 4) AS pnl
-FROM touched
-""", "touched")
+FROM touched{x}
+""", f"touched{x}")
+
+
+TP = ["0.1", "0.15", "0.2", "0.25", "0.3", "0.35", "0.4", "0.45", "0.5"]
+_race_ctes("", "hour(decision_datetime) BETWEEN 10 AND 14 AND spx_close IS NOT NULL", True, """
+SELECT date, coalesce(max(decision_datetime) FILTER (hour(decision_datetime) = 15 AND minute(decision_datetime) = 0), max(decision_datetime)) AS z FROM state GROUP BY 1
+""")
+
+
+@query("spine", "L2 J14 J15 P13 O1 O4 F17 W25", "SELECT * FROM spine", uses="spine", num="spx_prev_min_close sc_delta sp_delta sc_iv sp_iv credit", day="date", time="decision_datetime")
+def _(spark, d):
+    return build_spine(state(spark, d))
 
 
 def outcomes(spark, d):
@@ -108,7 +114,7 @@ def outcomes(spark, d):
     return build_outcomes(settle(build_spine(s), "spine"), s, long_form=True).where(F.col("target").isNotNull())
 
 
-@query("outcomes", "L3 J20 J19 A39", "SELECT * FROM outcomes", uses="outcomes", num="credit exit_debit pnl tp", day="date", time="decision_datetime exit_time")
+@query("outcomes", "L3 J20 J19 A39", "SELECT * EXCLUDE (lt) FROM outcomes", uses="outcomes", num="credit exit_debit pnl tp", day="date", time="decision_datetime exit_time")
 def _(spark, d):
     return outcomes(spark, d).select("decision_datetime", "strategy", "date", "credit", "tp", "target", "exit_reason", "exit_time", "exit_debit", "pnl")
 
@@ -118,18 +124,7 @@ _sides1 = ", ".join(
     for s in ("call", "put") for c, o in (("bid", "bid_close"), ("(bid + ask) / 2.0", "mid_close"), ("delta", "delta"), ("implied_vol", "implied_vol"))
 )
 cte("state1", f"SELECT date, timestamp AS decision_datetime, strike, median(underlying_price) AS spx_close, {_sides1} FROM chain GROUP BY 1, 2, 3", "chain")
-cte("ent1", "SELECT * FROM state1 WHERE hour(decision_datetime) * 60 + minute(decision_datetime) BETWEEN 570 AND 899", "state1")
-_again = ("state", "ent", "scp", "spp", "shorts", "longs", "spine_all", "spine", "legs", "paths", "ends", "races", "touched", "outcomes")
-for _n in _again[2:]:
-    _body, _needs = base.CTES[_n]
-    _body = re.sub(r"\b(" + "|".join(_again) + r")\b(?!')", r"\g<1>1", _body)
-    if _n == "spine":
-        _body = "SELECT * EXCLUDE (target, raw_credit), round(raw_credit, 4) AS credit FROM spine_all1 WHERE call_wing_width > 0 AND put_wing_width > 0 AND raw_credit > 0"
-    if _n == "ends":
-        _body = "SELECT DISTINCT date, date + INTERVAL 15 HOUR AS z FROM state1"
-    if _n in ("touched", "outcomes"):
-        _body = _body.replace("SELECT decision_datetime", "SELECT lt, decision_datetime") if _n == "outcomes" else _body
-    cte(f"{_n}1", _body, " ".join(f"{d}1" if d in _again else d for d in _needs.split()))
+_race_ctes("1", "hour(decision_datetime) * 60 + minute(decision_datetime) BETWEEN 570 AND 899", False, "SELECT DISTINCT date, date + INTERVAL 15 HOUR AS z FROM state1")
 
 
 @query("entry_labels", "L4 L3", """
