@@ -65,7 +65,35 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
     return x.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op3_quality")
+# Words are [^\x20\x09-\x0D]+; a line fails by the rules of quality.line_fails, in their order.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, lower(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS bare
+      FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+j AS (SELECT r, line, len(lw) AS n,
+        length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > 0.25 * len(lw)
+        OR (len(lw) >= 4 AND 2 * len(list_filter(lw, lambda x: suffix(x, '!'))) > len(lw))
+        OR (len(lw) < 12 AND (
+          (len(lw) < 4 AND NOT regexp_matches(bare, '[.!?:;,"'')\]…”»。！？]$'))
+          OR len(list_filter(lw, lambda x: NOT list_contains({menu}, lower(trim(x, '.,:;!?|>/'))))) = 0
+          OR len(regexp_extract_all(line, '[\x20\x09-\x0D](?:>|»|/|·|›)[\x20\x09-\x0D]')) * 3 >= len(lw)
+          OR regexp_matches(bare, '{notices}'))) AS fails
+      FROM l WHERE len(lw) > 0),
+a AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_removed, coalesce(sum(n) FILTER (fails), 0) AS n_words_removed FROM j GROUP BY r),
+u AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+v AS (SELECT * FROM (SELECT r, i, x || ' ' || lead(x, 1) OVER q || ' ' || lead(x, 2) OVER q || ' ' || lead(x, 3) OVER q || ' ' || lead(x, 4) OVER q AS five FROM u WINDOW q AS (PARTITION BY r ORDER BY i)) WHERE five IS NOT NULL),
+p AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (
+        SELECT v.r, unnest(range(i, i + 5)) AS k FROM v JOIN (SELECT r, five FROM v GROUP BY 1, 2 HAVING count(*) > 1) USING (r, five)) GROUP BY r),
+c AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_removed, 0) AS n_words_removed
+      FROM d LEFT JOIN a USING (r) LEFT JOIN p USING (r))
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words_removed <= CAST(0.3 AS DOUBLE) * n_words AS kept, n_lines, n_lines_removed, CAST(n_words_removed AS BIGINT) AS n_words_removed
+FROM c
+""".replace("{menu}", str([*sorted(quality.MENU), ""])).replace("{notices}", quality.NOTICES.pattern.decode())
+
+
+@query("op3_quality", OP3_SQL)
 def op3(spark: SparkSession, d: str) -> DataFrame:
     """Counts and verdict of every document."""
     x = quality.score_lines(table(spark, d, "documents").select("doc_id", "text"))
@@ -99,7 +127,33 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "word_no", "kind", F.sha2("value", 256).alias("value_sha256"), "value_length", "score", "is_secret")
 
 
-@query("op8_licenses")
+_W = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_BASE = ", ".join(f"('{p}', '{label}')" for p, label in licenses.BASE.items())
+_TEMPLATES = ", ".join(f"({k}, '{label}', '{t}', {phrases})" for k, (label, t, phrases) in enumerate(licenses.TEMPLATES))
+OP8_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_W} AS w FROM documents),
+b AS (SELECT string_split(p, ' ') AS q, label FROM (VALUES {_BASE}) x(p, label)),
+t AS (SELECT k, label, string_split(words, ' ') AS tw, phrases FROM (VALUES {_TEMPLATES}) x(k, label, words, phrases)),
+tp AS (SELECT k, unnest(tw) AS x, unnest(range(len(tw))) AS place FROM t),
+s AS MATERIALIZED (SELECT r, doc_id, x, i - 1 AS i FROM (SELECT r, doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)
+  WHERE x IN (SELECT x FROM tp UNION SELECT unnest(q) FROM b)),
+f AS (SELECT x, count(DISTINCT r) AS df FROM s WHERE x IN (SELECT x FROM tp) GROUP BY 1),
+rare AS (SELECT x, df FROM f WHERE df <= greatest(1.0, 0.1 * (SELECT count(*) FROM d))),
+hit AS (SELECT s.r, s.i, b.label FROM s JOIN b ON s.x = b.q[1] JOIN d USING (r) WHERE d.w[s.i + 1:s.i + len(b.q)] = b.q),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS bl FROM hit GROUP BY 1),
+top AS (SELECT r, x FROM (SELECT DISTINCT s.r, s.x, rare.df FROM s JOIN rare USING (x)) QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, x) <= 32),
+o AS (SELECT s.r, tp.k, s.i - tp.place AS start, count(*) AS n FROM s JOIN top USING (r, x) JOIN tp USING (x) GROUP BY ALL),
+reach AS (SELECT k, count(*) AS reach FROM tp JOIN rare USING (x) GROUP BY 1),
+c AS (SELECT o.r, t.label, n, reach, phrases, ' ' || array_to_string(d.w[greatest(start, 0) + 1:start + len(tw)], ' ') || ' ' AS covered
+  FROM o JOIN reach USING (k) JOIN t USING (k) JOIN d USING (r) WHERE n >= greatest(1.0, CAST(0.6 AS DOUBLE) * reach) AND start + len(tw) > 0),
+own AS (SELECT r, list(DISTINCT label) AS ol, max(least(1.0, n / reach)) AS share FROM c WHERE len(list_filter(phrases, lambda p: NOT contains(covered, ' ' || p || ' '))) = 0 GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(coalesce(bl, []), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ol, [])))), ',') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN own USING (r)
+"""
+
+
+@query("op8_licenses", OP8_SQL)
 def op8(spark: SparkSession, d: str) -> DataFrame:
     """Licence phrases and labels of every document."""
     return licenses.scan(table(spark, d, "documents"))
