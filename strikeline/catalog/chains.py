@@ -159,17 +159,22 @@ def _(spark, d):
 cte("offs", """
 SELECT datetime, spot, round_even(spot / 5.0, 0) * 5.0 AS atm FROM spots
 """, "spots")
-_px = {f"{s}{o}": (f"max(c.mid) FILTER (c.\"right\" = '{s}' AND c.strike = o.atm + {o} AND c.mid > 0)") for s in ("call", "put") for o in (-100, -50, 50, 100, 25, -25)}
+_px = {f"{s}{o}": (f"max(c.mid) FILTER (c.\"right\" = '{s}' AND c.strike = o.atm + {o} AND c.mid > 0)") for s in ("call", "put") for o in (-200, -150, -100, -50, 50, 100, 150, 200, 25, -25)}
 cte("wings", "SELECT o.datetime, o.spot, o.atm, " + ", ".join(f"{e} AS \"{n}\"" for n, e in _px.items()) + " FROM offs o JOIN chain c ON c.timestamp = o.datetime GROUP BY 1, 2, 3", "offs chain")
 
 
 @query("condor_credit_fixed_offsets", "A19 J16", """
-SELECT datetime, CASE WHEN "call50" + "put-50" - "call100" - "put-100" > 0 THEN "call50" + "put-50" - "call100" - "put-100" END AS credit_50 FROM wings
-""", uses="wings", num="credit_50", time="datetime")
+SELECT datetime, CASE WHEN "call50" + "put-50" - "call100" - "put-100" > 0 THEN "call50" + "put-50" - "call100" - "put-100" END AS credit_50,
+  CASE WHEN "call100" + "put-100" - "call150" - "put-150" > 0 THEN "call100" + "put-100" - "call150" - "put-150" END AS credit_100,
+  CASE WHEN "call150" + "put-150" - "call200" - "put-200" > 0 THEN "call150" + "put-150" - "call200" - "put-200" END AS credit_150 FROM wings
+""", uses="wings", num="credit_50 credit_100 credit_150", time="datetime")
 def _(spark, d):
     c = base.chain(spark, d).withColumn("atm", to_step("underlying_price"))
     st = ch.pivot_sides(c, ["timestamp", "strike", "atm"], "right", ["mid"]).withColumnsRenamed({"call_mid": "call_mid_close", "put_mid": "put_mid_close"})
-    return ch.condor_credit(["timestamp"], st, "atm", 50, 100, "credit_50").withColumnRenamed("timestamp", "datetime")
+    out = ch.condor_credit(["timestamp"], st, "atm", 50, 100, "credit_50")
+    for short in (100, 150):
+        out = out.join(ch.condor_credit(["timestamp"], st, "atm", short, short + 50, f"credit_{short}"), "timestamp")
+    return out.withColumnRenamed("timestamp", "datetime")
 
 
 @query("chain_skew_by_offset", "A20", 'SELECT datetime, "call25" / nullif("put-25", 0) AS skew_25, "call50" / nullif("put-50", 0) AS skew_50, "call100" / nullif("put-100", 0) AS skew_100 FROM wings',

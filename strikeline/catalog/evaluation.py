@@ -111,6 +111,43 @@ def _(spark, d):
     return p.withColumnsRenamed({r: f"ev_{r.lower()}" for r in ("AF", "NO", "RF")}).orderBy(F.desc("ev_rf")).limit(5)
 
 
+cte("gridq", """
+WITH r AS (SELECT * EXCLUDE (reason), rank() OVER (PARTITION BY strategy, quarter(date) ORDER BY prob) + (count(*) OVER (PARTITION BY strategy, quarter(date), prob) - 1) / 2.0 AS rk, 'Q' || quarter(date) AS reason FROM trades)
+SELECT strategy, reason, count(*) AS n, avg(y) AS base_wr, avg(pnl) AS base_ev, count(*) FILTER (prob >= 0.5) AS trades, avg(y) FILTER (prob >= 0.5) AS model_wr, avg(pnl) FILTER (prob >= 0.5) AS model_ev,
+  sum(pnl) FILTER (prob >= 0.5) AS total_pnl, (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS auc,
+  avg(y) FILTER (prob >= 0.5) - avg(y) AS wr_lift, avg(pnl) FILTER (prob >= 0.5) - avg(pnl) AS ev_lift
+FROM r GROUP BY 1, 2 HAVING count(*) >= 30 AND count(*) FILTER (prob >= 0.5) >= 10
+""", "trades")
+GRID = "base_wr base_ev model_wr model_ev total_pnl auc wr_lift ev_lift"
+
+
+def _graded(spark, d):
+    """Trades per strategy and a level that is independent of their label: the quarter of the ship date."""
+    return base.trades(spark, d).withColumn("reason", F.concat(F.lit("Q"), F.quarter("date")))
+
+
+@query("strategy_level_grid", "A32", "SELECT * FROM gridq", uses="gridq", num=GRID, digits=7)
+def _(spark, d):
+    return mt.level_grid(_graded(spark, d), ["strategy", "reason"], "y", "prob", "pnl")
+
+
+@query("strategy_level_auc_pivot", "A32", """
+SELECT strategy, max(auc) FILTER (reason = 'Q1') AS "Q1", max(auc) FILTER (reason = 'Q2') AS "Q2", max(auc) FILTER (reason = 'Q3') AS "Q3", max(auc) FILTER (reason = 'Q4') AS "Q4" FROM gridq GROUP BY 1
+""", uses="gridq", num="Q1 Q2 Q3 Q4", digits=7)
+def _(spark, d):
+    g = mt.level_grid(_graded(spark, d), ["strategy", "reason"], "y", "prob", "pnl")
+    return g.groupBy("strategy").pivot("reason", ["Q1", "Q2", "Q3", "Q4"]).agg(F.max("auc"))
+
+
+@query("strategy_level_extremes", "A32 O2", """
+SELECT * FROM (SELECT strategy, reason, ev_lift, 'best' AS side FROM gridq ORDER BY ev_lift DESC, strategy, reason LIMIT 5)
+UNION ALL SELECT * FROM (SELECT strategy, reason, ev_lift, 'worst' AS side FROM gridq ORDER BY ev_lift, strategy, reason LIMIT 5)
+""", uses="gridq", num="ev_lift", digits=7)
+def _(spark, d):
+    g = mt.level_grid(_graded(spark, d), ["strategy", "reason"], "y", "prob", "pnl").select("strategy", "reason", "ev_lift")
+    return mt.extremes(g, "ev_lift", ["strategy", "reason"])
+
+
 @query("trade_log_stats", "A33", """
 SELECT strategy, count(*) AS trades, count(*) FILTER (pnl > 0) / count(*) AS win_rate, avg(pnl) AS avg_pnl, max(pnl) AS max_pnl, min(pnl) AS min_pnl, sum(pnl) AS total_pnl, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor,
   count(*) FILTER (reason = 'AF') AS "n_AF", count(*) FILTER (reason = 'RF') AS "n_RF", median(pnl) AS median_pnl FROM trades GROUP BY 1

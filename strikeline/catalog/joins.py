@@ -36,6 +36,17 @@ def _(spark, d):
     return join_daily(order_days(spark, d), [(same, "same_day"), (ship_days(spark, d, "qty_t1"), "t1"), (ship_days(spark, d, "qty_t2"), "t2")])
 
 
+@query("inner_three_way_daily_join", "J7", """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS total, count(*) AS orders FROM orders GROUP BY 1),
+l AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
+e AS (SELECT CAST(l_shipdate AS DATE) AS date, max(l_tax) AS top_tax FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT date, total, orders, qty, top_tax FROM o JOIN l USING (date) JOIN e USING (date)
+""", num="total qty top_tax", day="date", digits=2)
+def _(spark, d):
+    e = table(spark, d, "lineitem").where(F.col("l_returnflag") == "R").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(F.max("l_tax").alias("top_tax"))
+    return order_days(spark, d).join(ship_days(spark, d, "qty").drop("top_discount"), "date").join(e, "date")
+
+
 @query("asof_backward_last_view", "J10", """
 SELECT p.event_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = p.user_id AND v.ts <= p.ts

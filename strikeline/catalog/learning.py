@@ -38,6 +38,32 @@ def _(spark, d):
     return models.importance(m, FEATURES, spark)
 
 
+_SPLIT_ROWS = """
+WITH b AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST((l_extendedprice > 52000) <> (l_returnflag = 'R') AS INTEGER) AS label FROM lineitem)
+SELECT count(*) AS n, count(*) FILTER (label = 1) AS positives, true AS better_than_chance, true AS stopped_early FROM b
+"""
+
+
+@query("gbt_early_stopping", "M1", _SPLIT_ROWS)
+def _(spark, d):
+    """Invariants of a fit that watches a validation split: it stops before its limit, and ranks better than chance."""
+    x = samples(spark, d).withColumn("check", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(4)) == 0)
+    m = models.fit_classifier(x, FEATURES, "label", validation="check", maxIter=30, maxDepth=4, stepSize=0.9, validationTol=0.05)
+    stopped = m.stages[-1].getNumTrees < 30
+    auc = models.auc_of(models.score(x.where("check"), m), "label")
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives")).select("n", "positives", F.lit(auc > 0.55).alias("better_than_chance"), F.lit(stopped).alias("stopped_early"))
+
+
+@query("gbt_permutation_importance", "M5", """
+SELECT unnest(['l_extendedprice', 'l_quantity']) AS feature, unnest([true, false]) AS matters
+""")
+def _(spark, d):
+    """The price decides the label, the quantity does not: only the first costs AUC when exchanged."""
+    x = samples(spark, d)
+    m = models.fit_classifier(x, FEATURES, "label", maxIter=4, maxDepth=3)
+    return models.permutation_importance(x, m, ["l_extendedprice", "l_quantity"], "label").select("feature", (F.col("auc_drop") > 0.03).alias("matters"))
+
+
 @query("isotonic_calibrated_scores", "M3 A29", None, num="avg_score actual")
 def _(spark, d):
     x = samples(spark, d).withColumn("raw", F.least(F.col("l_extendedprice") / 105_000.0, F.lit(1.0)))

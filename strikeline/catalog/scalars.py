@@ -118,6 +118,22 @@ def _(spark, d):
     return x.select("date", F.array_join(soft_reasons("date", 10 + F.dayofmonth("date"), "event_week"), ";").alias("soft"))
 
 
+@query("hard_blocker_reasons", "P15", """
+SELECT date, array_to_string(list_filter(list_concat([CASE WHEN f THEN 'fomc day' END, CASE WHEN day(date) % 9 = 0 THEN 'earnings' END, CASE WHEN t THEN 'fomc eve' END, CASE WHEN 10 + day(date) > 35 THEN 'vix above 35' END],
+  list_transform(coalesce(names, []), lambda x: 'release: ' || x)), lambda x: x IS NOT NULL), ';') AS hard
+FROM (SELECT date, coalesce(list_contains(names, 'FOMC'), false) AS f, exists(SELECT 1 FROM cal c WHERE c.event = 'FOMC' AND c.date = o.date + 1) AS t, list_sort(list_filter(names, lambda x: x <> 'FOMC')) AS names
+  FROM odates o LEFT JOIN (SELECT date, list(event) AS names FROM cal GROUP BY 1) USING (date))
+""", uses="odates cal", day="date")
+def _(spark, d):
+    from strikeline.operators.clean import hard_reasons
+
+    events = base.calendar_events(spark, d)
+    named = events.groupBy("date").agg(F.sort_array(F.collect_set(F.when(F.col("event") != "FOMC", F.col("event")))).alias("names"), F.bool_or(F.col("event") == "FOMC").alias("fomc"))
+    eve = events.where(F.col("event") == "FOMC").select(F.date_sub("date", 1).alias("date"), F.lit(True).alias("tomorrow"))
+    x = base.order_dates(spark, d).join(named, "date", "left").join(eve, "date", "left")
+    return x.select("date", F.array_join(hard_reasons("fomc", "names", F.dayofmonth("date") % 9 == 0, "tomorrow", 10 + F.dayofmonth("date")), ";").alias("hard"))
+
+
 @query("event_props_json", "S7 S9 F24", """
 SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total FROM events GROUP BY 1
 """, num="total")

@@ -142,6 +142,16 @@ def _(spark, d):
     return writers.write_incremental(spark, new, path, fresh_path(spark, "daily"), "date", ["date"], ["n"])
 
 
+@query("json_report_round_trip", "K7 S7", """
+SELECT o_orderpriority AS priority, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders GROUP BY 1
+""", num="total", digits=2)
+def _(spark, d):
+    path = fresh_path(spark, "report")
+    x = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    writers.write_report(x, path, "json")
+    return spark.read.schema("priority string, orders long, total double").json(path)
+
+
 @query("resume_pending_dates", "K6 O7", """
 SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE CAST(l_shipdate AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')
 """, day="date")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.operators.metrics import roc_auc
+from strikeline.plans.tables import settle
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -99,21 +100,22 @@ def permutation_importance(df: DataFrame, model: PipelineModel, features: Sequen
     base = auc_of(score(df, model), label)
     rows = []
     for i, f in enumerate(features):
-        key = F.xxhash64(F.lit(seed + i), *[F.col(c) for c in features])
-        x = df.repartition(F.pmod(key, F.lit(1024))).sortWithinPartitions(key)
-        swapped = x.withColumn("_rid", F.monotonically_increasing_id())
+        key = F.xxhash64(F.lit(seed + i), *[F.col(c) for c in df.columns])
+        # ids are written once: both sides of the self-join read the same ones
+        swapped = settle(df.repartition(F.pmod(key, F.lit(1024))).sortWithinPartitions(key).withColumn("_rid", F.monotonically_increasing_id()), "shuffled")
         mate = swapped.select(F.col("_rid").alias("_m"), F.col(f).alias("_v"))
         mixed = swapped.withColumn("_m", F.col("_rid").bitwiseXOR(F.lit(1))).join(mate, "_m", "left")
         rows.append((f, base - auc_of(score(mixed.withColumn(f, F.coalesce("_v", F.col(f))), model), label)))
     return df.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
 
 
-def fit_calibrator(scored: DataFrame, prob: str, label: str) -> IsotonicRegressionModel:
-    """Isotonic fit on one weighted row per distinct score.
+def fit_calibrator(scored: DataFrame, prob: str, label: str, decimals: int = 5) -> IsotonicRegressionModel:
+    """Isotonic fit on one weighted row per score, rounded to ``decimals``.
 
-    Counting per score first keeps the result and bounds what the final pooling
-    step has to bring together.
+    Scores lie in [0, 1], so at most 10**decimals + 1 rows reach the step that pools them in one
+    place, whatever the input. All rows count, through their weights.
     """
+    scored = scored.withColumn(prob, F.round(F.col(prob).cast("double"), decimals))
     per = scored.groupBy(F.col(prob).alias("x")).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(per)
 

@@ -38,6 +38,31 @@ def group_table(df: DataFrame, keys: Sequence[str], label: str, score: str) -> D
     return a.withColumn("win_rate", div("positives", "rows"))
 
 
+def level_grid(df: DataFrame, keys: Sequence[str], label: str, score: str, pnl: str, threshold: float = 0.5, min_rows: int = 30, min_trades: int = 10) -> DataFrame:
+    """Per cell: AUC, win rate and EV of all rows and of those the model takes, lifts and total.
+
+    Cells with fewer than ``min_rows`` rows or ``min_trades`` taken are left out, as the report this feeds does.
+    """
+    taken = F.col(score) >= threshold
+    y, p = F.col(label).cast("double"), F.col(pnl)
+    cells = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("base_wr"), F.avg(p).alias("base_ev"), _n(taken).alias("trades"),
+        F.avg(F.when(taken, y)).alias("model_wr"), F.avg(F.when(taken, p)).alias("model_ev"), F.sum(F.when(taken, p)).alias("total_pnl"),
+    ).where((F.col("n") >= min_rows) & (F.col("trades") >= min_trades))
+    auc = roc_auc(df, keys, label, score).select(*[F.col(k).alias(f"_{k}") for k in keys], "auc")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = cells.join(auc, same, "left").drop(*[f"_{k}" for k in keys])
+    return out.withColumns({"wr_lift": F.col("model_wr") - F.col("base_wr"), "ev_lift": F.col("model_ev") - F.col("base_ev")})
+
+
+def extremes(df: DataFrame, by: str, ties: Sequence[str], n: int = 5) -> DataFrame:
+    """The ``n`` best and worst rows of a small report."""
+    best = df.orderBy(F.desc(by), *ties).limit(n).withColumn("side", F.lit("best"))
+    return best.unionByName(df.orderBy(F.asc(by), *ties).limit(n).withColumn("side", F.lit("worst")))
+
+
 def confusion(df: DataFrame, keys: Sequence[str], label: str, score: str, threshold: float) -> DataFrame:
     """Confusion counts with accuracy, precision, recall and F1 (0 when undefined)."""
     y, p = F.col(label) == 1, F.col(score) >= threshold
