@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Words are runs of anything but a space and the five ASCII controls tab to carriage return.
 SPACE = "\x20\x09-\x0D"
 
@@ -65,7 +66,11 @@ def slices(items: list, most: int) -> Iterator[list]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if no package was distributed to them."""
+    """Prepare a session: Python workers import this package from where the driver has it, if no package was
+    distributed to them, and get batches of texts small enough for several workers on one executor, unless
+    the session has its own size."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -172,7 +172,7 @@ def likely(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
             near = (np.bitwise_count(s[r : min(r + 256, e), None] ^ s[None, a:e]) <= far) & (h[r : min(r + 256, e), None] != h[None, a:e])
             active[r : min(r + 256, e)] |= near.any(axis=1)
     at = pa.array(np.flatnonzero(active))
-    return b.select(["key", "cell", "handle"]).take(at)
+    return b.select(["key", "cell", "handle", "sketch"]).take(at)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -224,7 +224,7 @@ def within(a: str, b: str, k: int) -> bool:
 
 def verify(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
     """Links within cells, enough to connect whatever is connected there."""
-    ids, lines = b.column("digest").to_pylist(), b.column("line").to_pylist()
+    ids, lines, sketch = b.column("digest").to_pylist(), b.column("line").to_pylist(), b.column("sketch").to_numpy().view(np.uint64)
     ends, left, right = [*starts[1:].tolist(), len(ids)], [], []
 
     def near(i: int, j: int) -> bool:
@@ -232,17 +232,20 @@ def verify(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         return ids[i] != ids[j] and within(x, y, int(min(MOST_EDITS, min(len(x), len(y)) // PER_EDIT)))
 
     for s, e in zip(starts.tolist(), ends):
-        waiting = list(range(s, e))
+        waiting = np.arange(s, e)
+        letters = np.stack([np.bincount((codes(x) % np.uint64(61)).astype(np.int64), minlength=61) for x in lines[s:e]])  # an edit changes two counts at most
         while len(waiting) > 1:
-            queue, waiting = [waiting[0]], waiting[1:]
-            while queue and waiting:
+            queue, waiting = [int(waiting[0])], waiting[1:]
+            while queue and len(waiting):
                 pivot = queue.pop()
-                found = [j for j in waiting if near(pivot, j)]
+                like = np.flatnonzero(np.bitwise_count(sketch[waiting] ^ sketch[pivot]) <= 6 * MOST_EDITS)
+                like = like[np.abs(letters[waiting[like] - s] - letters[pivot - s]).sum(axis=1) <= 2 * MOST_EDITS]
+                like = [k for k in like.tolist() if near(pivot, int(waiting[k]))]
+                found = waiting[like].tolist()
                 left += [ids[pivot]] * len(found)
                 right += [ids[j] for j in found]
                 queue += found
-                gone = set(found)
-                waiting = [j for j in waiting if j not in gone]
+                waiting = np.delete(waiting, like)
     return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
@@ -250,10 +253,10 @@ def line_links(texts: DataFrame, cell: int = CELL) -> DataFrame:
     """``a, b`` (digests): links between different lines of ``texts(text)`` that connect all that match."""
     counted = rows_of(texts, SAMPLE).groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("_n"))
     rows = cells(rows_of(texts), "key", "handle", cell, counted)
-    met = settle(per_cell(rows.select("key", "handle", "sketch", "cell"), "key", likely, "key long, cell long, handle long").distinct(), "met")
+    met = settle(per_cell(rows.select("key", "handle", "sketch", "cell"), "key", likely, "key long, cell long, handle long, sketch long").distinct(), "met")
     handles = settle(met.select("handle").distinct(), "handles")
     known = texts_of(texts, handles).dropDuplicates(["digest"])
-    pairs = met.join(known, "handle").select("key", "cell", "digest", "line")
+    pairs = met.join(known, "handle").select("key", "cell", "sketch", "digest", "line")
     return per_cell(pairs, "key", verify, "a binary, b binary").distinct()
 
 

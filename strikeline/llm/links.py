@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from strikeline.plans.tables import settle
 
-SMALL = 12  # rows of a cell up to which every link is returned
 AT_ONCE = 64  # rows of a cell up to which every pair is checked in one sweep over all cells
 
 
@@ -64,42 +63,67 @@ def per_cell(rows: DataFrame, key: str, fn: Callable[[pa.RecordBatch, np.ndarray
     return rows.repartition(key, "cell").sortWithinPartitions(key, "cell").mapInArrow(run, schema)
 
 
-def close_pairs(starts: np.ndarray, n: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links within cells: all in small cells, in larger ones enough to connect whatever is connected.
+def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within cells whose values differ in at most ``distance`` bits, one of them standing in the
+    bucket itself (``own``).
 
-    ``close(a, b)`` says for two arrays of row numbers (or one number and an array) which pairs are close.
+    In small cells every such pair is given; in cells where very many rows are close, enough pairs to
+    connect whatever is connected there, and each row's nearest one.
     """
+    n = len(values)
     ends = np.r_[starts[1:], n]
     sizes = ends - starts
-    left, right = [], []
-    swept, cell = sizes <= AT_ONCE, np.repeat(np.arange(len(starts)), sizes)
-    last = np.repeat(np.where(swept, ends, starts), sizes)  # rows of large cells get no partner here
-    walk = ~swept
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    last = np.repeat(np.where(sizes <= AT_ONCE, ends, starts), sizes)  # rows of large cells get no partner here
     rows = np.arange(n)
     for lag in range(1, AT_ONCE):
         rows = rows[rows + lag < last[rows]]
         if not len(rows):
             break
-        found = rows[close(rows, rows + lag)]
-        few = sizes[cell[found]] <= SMALL
-        left.append(found[few])
-        right.append(found[few] + lag)
-        walk[cell[found[~few]]] = True
-    for s, e in zip(starts[walk].tolist(), ends[walk].tolist()):
-        waiting = np.arange(s, e)
-        while len(waiting) > 1:
-            queue, waiting = [int(waiting[0])], waiting[1:]
-            while queue and len(waiting):
-                pivot = queue.pop()
-                ok = close(np.full(len(waiting), pivot), waiting)
-                found = waiting[ok]
-                if len(found):
-                    left.append(np.full(len(found), pivot))
-                    right.append(found)
-                    queue += found.tolist()
-                    waiting = waiting[~ok]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        found = rows[(own[rows] | own[rows + lag]) & (np.bitwise_count(values[rows] ^ values[rows + lag]) <= distance)]
+        left.append(found)
+        right.append(found + lag)
+    for s, e in zip(starts[sizes > AT_ONCE].tolist(), ends[sizes > AT_ONCE].tolist()):
+        all_rows, home, total, got = values[s:e], np.flatnonzero(own[s:e]), 0, []
+        for k in range(0, len(home), 256):
+            part = home[k : k + 256]
+            i, j = np.nonzero(np.bitwise_count(all_rows[part, None] ^ all_rows[None, :]) <= distance)
+            i = part[i]
+            fresh = (i < j) | ~own[s:e][j]
+            fresh &= i != j
+            got.append((i[fresh], j[fresh]))
+            total += int(fresh.sum())
+            if total > 8 * (e - s):
+                got = [_sparse(all_rows, distance)]
+                break
+        for i, j in got:
+            left.append(i + s)
+            right.append(j + s)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _sparse(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what is connected by close pairs, and each row with its nearest."""
+    left, right, waiting = [], [], np.arange(len(values))
+    while len(waiting) > 1:
+        queue, waiting = [int(waiting[0])], waiting[1:]
+        while queue and len(waiting):
+            pivot = queue.pop()
+            ok = np.bitwise_count(values[waiting] ^ values[pivot]) <= distance
+            found = waiting[ok]
+            if len(found):
+                left.append(np.full(len(found), pivot))
+                right.append(found)
+                queue += found.tolist()
+                waiting = waiting[~ok]
+    for k in range(0, len(values), 256):
+        d = np.bitwise_count(values[k : k + 256, None] ^ values[None, :])
+        d[d == 0] = 255  # itself, and rows of the same value
+        best = d.argmin(axis=1)
+        ok = d[np.arange(len(d)), best] <= distance
+        left.append(np.flatnonzero(ok) + k)
+        right.append(best[ok])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

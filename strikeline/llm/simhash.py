@@ -17,7 +17,7 @@ longer and rarer the part values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -34,9 +34,10 @@ from strikeline.plans.tables import settle
 
 BITS = 64
 PIECE = 11  # bits of the value histograms
-#: Per row that is shuffled to a bucket (some microseconds) and per pair that meets there (some 20 to 100 nanoseconds).
-PROBE_COST, CANDIDATE_COST = 1.0, 0.05
+#: Per row that is shuffled to a bucket (2 to 3 microseconds) and per pair that meets there (2 to 20 nanoseconds).
+PROBE_COST, CANDIDATE_COST = 1.0, 0.005
 CELL = 8192
+LISTED = 2_000_000  # text keys, 16 MB, up to which linked texts are picked where they are read
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -180,21 +181,27 @@ class Plan:
             costs.append(PROBE_COST * probes + CANDIDATE_COST * self.n * np.cumsum(total, axis=1))
         return best_split(self.widths, costs, self.distance)
 
-    def probes(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket keys and the fingerprints that stand in them or probe them."""
+    def probes(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket keys with the fingerprints that stand in them (True) or probe them (False).
+
+        Every fingerprint stands in the bucket of each of its values, and so meets those that probe it;
+        what it probes at distance zero is the bucket it stands in.
+        """
         values = self.values(prints)
         limits = self.thresholds(values)
-        keys, owners = [], []
+        keys, owners, own = [], [], []
         for i, w in enumerate(self.widths):
             keys.append(values[i] | (i << 40))
             owners.append(prints)
+            own.append(np.ones(len(prints), bool))
             for t in range(1, self.distance + 1):
                 who = limits[:, i] >= t
                 if who.any():
                     masks = np.array([sum(1 << x for x in c) for c in combinations(range(w), t)], np.int64)
                     keys.append(((values[i][who, None] ^ masks) | (i << 40)).ravel())
                     owners.append(np.repeat(prints[who], len(masks)))
-        return np.concatenate(keys), np.concatenate(owners)
+                    own.append(np.zeros(len(owners[-1]), bool))
+        return np.concatenate(keys), np.concatenate(owners), np.concatenate(own)
 
 
 def plan_for(prints: DataFrame, distance: int) -> Plan:
@@ -226,18 +233,18 @@ def links_within(prints: DataFrame, distance: int, cell: int = CELL) -> DataFram
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(0).to_numpy()
-            for s in range(0, len(x), 4096):
-                keys, owners = plan.probes(x[s : s + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], names=["key", "fp"])
+            for s in range(0, len(x), 2048):
+                keys, owners, own = plan.probes(x[s : s + 2048])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners), pa.array(own)], names=["key", "fp", "own"])
 
     def verify(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         x = b.column(1).to_numpy()
-        u = x.view(np.uint64)  # bits of a signed number are counted without its sign
-        left, right = close_pairs(starts, len(x), lambda i, j: np.bitwise_count(u[i] ^ u[j]) <= distance)
+        # bits of a signed number would be counted without its sign
+        left, right = close_pairs(starts, x.view(np.uint64), b.column(2).to_numpy(zero_copy_only=False), distance)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[left], x[right])), pa.array(np.maximum(x[left], x[right]))], names=["a", "b"])
 
-    rows = prints.select("fp").mapInArrow(probe, "key long, fp long")
-    found = per_cell(cells(rows, "key", "fp", cell).select("key", "fp", "cell"), "key", verify, "a long, b long")
+    rows = prints.select("fp").mapInArrow(probe, "key long, fp long, own boolean")
+    found = per_cell(cells(rows, "key", "fp", cell).select("key", "fp", "own", "cell"), "key", verify, "a long, b long")
     return found.where("a != b").distinct()
 
 
@@ -253,10 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(roots(rows, distance), fp).select("doc_id", fp, "component_id")
 
 
-def roots(rows: DataFrame, distance: int) -> DataFrame:
-    """``fp, component_id`` for the distinct fingerprints of ``rows(doc_id, fp)``."""
+def roots(rows: DataFrame, distance: int, links: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
+    """``fp, component_id`` for the distinct fingerprints of ``rows(doc_id, fp)``; ``links`` may drop some links."""
     prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    found = components(links_within(prints, distance), "a", "b")
+    found = components(links(links_within(prints, distance)), "a", "b")
     node = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = node.where("root != fp").groupBy("root").agg(F.min("first").alias("other"))
     near = node.select("fp", "root", "first").join(least.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"), "left")
@@ -265,20 +272,74 @@ def roots(rows: DataFrame, distance: int) -> DataFrame:
     return near.select("fp", F.least("root_first", "other").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 3) -> DataFrame:
+def text_key(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63
+
+
+def with_text_key(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    return map_rows(docs, lambda texts: {name: pa.array([text_key(t) for t in texts], pa.int64())}, [T.StructField(name, T.LongType())], text_col)
+
+
+def similar_links(found: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The links whose texts share at least ``least`` of their distinct shingles.
+
+    A fingerprint stands for its text of the smallest ``text_key``; texts are read again only to pick those of
+    linked fingerprints: where they are read while the keys fit in a bounded list, else by a join.
+    """
+    found = settle(found, "candidates")
+    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+    named = settle(rows.join(ends, "fp").groupBy("fp").agg(F.min("text_key").alias("text_key")), "named")
+    n = named.count()
+    wanted = np.sort(named.select("text_key").toArrow().column(0).to_numpy()) if n <= LISTED else None
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, digest, join = shared.value, xxhash.xxh64_intdigest, b" ".join
+        for b in batches:
+            keys, out = [], []
+            for text in b.column(0).to_pylist():
+                k = text_key(text)
+                if wanted is None or (len(wanted) and wanted[min(np.searchsorted(wanted, k), len(wanted) - 1)] == k):
+                    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                    grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
+                    keys.append(k)
+                    out.append(np.unique(np.fromiter((digest(join(g)) for g in grams), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["text_key", "grams"])
+
+    known = texts.mapInArrow(sets, "text_key long, grams binary")
+    known = named.join(known.dropDuplicates(["text_key"]), "text_key").select("fp", "grams")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = found.join(known.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 12, least: float = 0.8) -> DataFrame:
     """One document of each group: that with the smallest id (null ids last); columns as given.
 
-    Groups are the components of linked fingerprints. Where rows share the smallest id, one of them stays.
+    Documents with equal fingerprints are one group. Other links are pairs within ``distance`` bits, far enough for
+    most pairs of the similarity asked for, whose texts share at least ``least`` of their distinct shingles. Where rows
+    share the smallest id, one of them stays. Null text is empty.
     """
-    fp, root, n, doc = fresh(docs, "fp", "component_id", "n_same", "first_id")
-    printed = with_fingerprint(docs, text_col, shingle, fp)
-    rows = settle(printed.select(ref(id_col).alias("doc_id"), ref(fp).alias("fp")), "prints")
-    labelled = rows.join(roots(rows, distance), "fp").select("doc_id", "fp", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))).alias("group"), "component_id")
+    key, doc, other, n = fresh(docs, "text_key", "first_id", "first_key", "n_same")
+    texts = docs.select(ref(text_col).cast("string").alias("text"))
+    rows = with_fingerprint(with_text_key(docs.select(ref(id_col).alias("doc_id"), ref(text_col).cast("string").alias("text")), "text", "text_key"), "text", shingle, "fp")
+    rows = settle(rows.select("doc_id", "text_key", "fp"), "prints")
+    found = roots(rows, distance, lambda links: similar_links(links, rows, texts, shingle, least))
+    labelled = rows.join(found, "fp").withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))))
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = settle(labelled.where(same).groupBy("doc_id", "group").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "firsts")
-    first = first.select(F.col("doc_id").alias(doc), F.col("fp").alias(root), F.col("n").alias(n))
-    kept = printed.join(first, ref(id_col).eqNullSafe(ref(doc)) & (ref(fp) == ref(root)))
+    first = labelled.where(same).groupBy("doc_id", "group").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n"))
+    first = settle(first.select(F.col("doc_id").alias(doc), F.col("text_key").alias(other), F.col("n").alias(n)), "firsts")
+    kept = with_text_key(docs, text_col, key).join(first, ref(id_col).eqNullSafe(ref(doc)) & (ref(key) == ref(other)))
     one = kept.where(ref(n) == 1)
     if not first.where(ref(n) > 1).isEmpty():
-        one = one.unionByName(kept.where(ref(n) > 1).dropDuplicates([fp, *([] if id_col == fp else [id_col])]))
+        one = one.unionByName(kept.where(ref(n) > 1).dropDuplicates([key, id_col]))
     return one.select(*[ref(c) for c in docs.columns])
