@@ -281,7 +281,24 @@ def _(spark, d):
     return p.select("date", "strike", "right", solve("price", "spot", "strike", T, r, call).alias("iv"))
 
 
-@query("term_structure_iv", "F13 I24", None, num="ts_iv_7dte ts_iv_14dte slope_ratio", digits=4, day="date")
+def _price(vol: str) -> str:
+    d1 = f"((ln(s / k) + (0.05 + ({vol}) * ({vol}) / 2) * t) / (({vol}) * sqrt(t)))"
+    d2 = f"({d1} - ({vol}) * sqrt(t))"
+    return f"(CASE WHEN call THEN s * {_ncdf(d1)} - k * exp(-0.05 * t) * {_ncdf(d2)} ELSE k * exp(-0.05 * t) * {_ncdf('(-' + d2 + ')')} - s * {_ncdf('(-' + d1 + ')')} END)"
+
+
+_STEPS = ",\n".join(f"b{i} AS MATERIALIZED (SELECT * EXCLUDE (lo, hi, m), CASE WHEN {_price('m')} < p THEN m ELSE lo END AS lo, CASE WHEN {_price('m')} < p THEN hi ELSE m END AS hi FROM (SELECT *, (lo + hi) / 2 AS m FROM b{i - 1}))" for i in range(1, 31))
+
+
+@query("term_structure_iv", "F13 I24", f"""
+WITH pick AS (SELECT date, n, "right" = 'call' AS call, max(spx_close) AS s, arg_min({{'d': dte, 'k': strike, 'p': mid}}, (abs(moneyness), dte, strike, mid)) AS x
+  FROM ts, (SELECT unnest([7, 14]) AS n) WHERE dte BETWEEN n - 3 AND n + 3 AND moneyness IS NOT NULL GROUP BY ALL),
+b0 AS (SELECT date, n, call, s, x.k AS k, x.p AS p, greatest(x.d / 365.0, 1.0 / 8760.0) AS t, 0.01 AS lo, 5.0 AS hi FROM pick WHERE x.p > 0 AND x.p > greatest(CASE WHEN call THEN s - x.k ELSE x.k - s END, 0) + 0.01),
+{_STEPS},
+iv AS (SELECT date, n, avg((lo + hi) / 2) FILTER (lo > 0.010001 AND hi < 2.99999) AS v FROM b30 GROUP BY 1, 2),
+w AS (SELECT date, max(v) FILTER (n = 7) AS a, max(v) FILTER (n = 14) AS b FROM iv GROUP BY 1)
+SELECT date, a AS ts_iv_7dte, b AS ts_iv_14dte, a / nullif(b, 0) AS slope_ratio, CAST(a > b AS DOUBLE) AS inverted FROM (SELECT DISTINCT date FROM ts) LEFT JOIN w USING (date)
+""", uses="ts", num="ts_iv_7dte ts_iv_14dte slope_ratio", digits=4, day="date")
 def _(spark, d):
     t = base.term_structure(spark, d)
     out = t.select("date").distinct()

@@ -12,6 +12,7 @@ from strikeline.operators.barrier import first_touch, ratchet_exit, ratchet_tier
 from strikeline.operators.calendar import business_days_between, days_to_next, earnings_flags, event_flags, near_event
 from strikeline.operators.lagjoin import join_daily
 from strikeline.operators.nearest import closest_bucket, first_available, nearest_in_band, nearest_per_target
+from strikeline.operators.slicing import time_width
 
 
 def order_days(spark, d):
@@ -234,7 +235,7 @@ def _(spark, d):
     s = e.where(F.col("event_type") == "signup").select(
         "event_id", "ts", "event_type", (F.col("value") + 60.0).alias("up"), F.greatest(F.col("value") - 15.0, F.lit(2.0)).alias("down"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("z")
     )
-    x = first_touch(s, e, ["event_type"], ["event_id"], "ts", "z", "ts", "value", [("up", ">=", "up"), ("down", "<=", "down")], 86_400, dense=True)
+    x = first_touch(s, e, ["event_type"], ["event_id"], "ts", "z", "ts", "value", [("up", ">=", "up"), ("down", "<=", "down")], time_width(e, ["event_type"], "ts"), dense=True)
     return x.select("event_id", "up_t", "down_t", "last_t", "last_v")
 
 

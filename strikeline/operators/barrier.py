@@ -28,6 +28,8 @@ def first_touch(
     ticks set ``dense``: each (key, slice) is then searched in sorted arrays, so the
     cost per slice grows with its rows times a logarithm, never with pairs.
 
+    Path times are unique per key on a bar grid; of ticks with equal times the smaller value comes first.
+
     Returns ``key`` plus ``<name>_t``, ``<name>_v`` per level and ``last_t``,
     ``last_v``, the final point in range. Entries without any point drop out.
     """
@@ -103,7 +105,7 @@ def _search(near: DataFrame, points: DataFrame, on: Sequence[str], key: Sequence
         import pandas as pd
 
         out = asks[list(key)].copy()
-        path = path.sort_values("_t", kind="stable")
+        path = path.sort_values(["_t", "_v"], kind="stable")
         t, v = path["_t"].to_numpy(), path["_v"].to_numpy(dtype=float)
         lo = np.searchsorted(t, asks["_a"].to_numpy(), side="right")
         hi = np.searchsorted(t, asks["_z"].to_numpy(), side="right")

@@ -22,6 +22,19 @@ def with_time_slice(df: DataFrame, ts: str, seconds: int, out: str = SLICE) -> D
     return df.withColumn(out, F.floor(epoch_seconds(ts) / F.lit(seconds)).cast("long"))
 
 
+def time_width(df: DataFrame, keys: Sequence[str], ts: str, rows: int = 500_000, widest: int = 86_400, narrowest: int = 1) -> int:
+    """Seconds of a time slice such that the busiest (key, slice) holds about ``rows`` rows at most.
+
+    Counts rows per key and slice of the widest kind (one number reaches the driver) and halves the
+    width as often as the busiest of them needs.
+    """
+    counted = with_time_slice(df.select(*keys, ts), ts, widest).groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    busiest, width = counted.agg(F.max("_n")).first()[0] or 0, widest
+    while busiest > rows and width > narrowest:
+        width, busiest = max(narrowest, width // 2), busiest / 2
+    return width
+
+
 def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, slices: int = 64, out: str = SLICE) -> DataFrame:
     """Cut each group into value ranges of about equal row count.
 
