@@ -12,6 +12,7 @@ from strikeline.operators import selection as sel
 from strikeline.operators import splits
 from strikeline.operators.slicing import quantiles_long
 
+# The threshold and skip-rate grids.
 THRESHOLDS = [0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70]
 RATES = [0.05, 0.10, 0.15, 0.20, 0.25, 0.30]
 # linear interpolation between order statistics of a sorted list, in plain SQL

@@ -64,10 +64,21 @@ def _(spark, d):
     return models.permutation_importance(x, m, ["l_extendedprice", "l_quantity"], "label").select("feature", (F.col("auc_drop") > 0.03).alias("matters"))
 
 
-@query("isotonic_calibrated_scores", "M3 A29", None, num="avg_score actual")
+@query("isotonic_calibrated_scores", "M3 A29", """
+WITH c AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)),
+s AS (SELECT least(l_extendedprice / 105000.0, 1.0) AS raw, CAST((l_extendedprice > 52000) <> (l_returnflag = 'R') AS INTEGER) AS label,
+    CASE WHEN i < a THEN 'train' WHEN i >= a + 7 AND i < a + 7 + floor((n - a - 14) / 2) THEN 'test' END AS split
+  FROM lineitem JOIN (SELECT *, floor(n * 0.5) AS a FROM c) c ON c.date = CAST(l_shipdate AS DATE)),
+g AS (SELECT round(raw, 2) AS x, sum(label) AS y, count(*) AS w FROM s WHERE split = 'train' GROUP BY 1),
+p AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(y) OVER (ORDER BY x) AS cy FROM g),
+f AS (SELECT x, max(m) AS v FROM (SELECT b.x, a.i, min((e.cy - a.cy + a.y) / (e.cw - a.cw + a.w)) AS m FROM p b JOIN p a ON a.i <= b.i JOIN p e ON e.i >= b.i GROUP BY ALL) GROUP BY 1),
+t AS (SELECT s.raw, s.label, lo.x AS x0, lo.v AS v0, hi.x AS x1, hi.v AS v1 FROM (SELECT * FROM s WHERE split = 'test') s ASOF LEFT JOIN f lo ON s.raw >= lo.x ASOF LEFT JOIN f hi ON s.raw <= hi.x),
+q AS (SELECT label, greatest(0.01, least(0.99, CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL OR x0 = x1 THEN v0 ELSE v0 + (v1 - v0) * (raw - x0) / (x1 - x0) END)) AS cal FROM t)
+SELECT least(CAST(floor(cal * 5) AS BIGINT), 4) AS bin, count(*) AS n, avg(cal) AS avg_score, avg(label) AS actual FROM q GROUP BY 1
+""", num="avg_score actual")
 def _(spark, d):
     x = samples(spark, d).withColumn("raw", F.least(F.col("l_extendedprice") / 105_000.0, F.lit(1.0)))
-    m = models.fit_calibrator(x.where(F.col("split") == "train"), "raw", "label")
+    m = models.fit_calibrator(x.where(F.col("split") == "train"), "raw", "label", decimals=2)
     return mt.calibration(models.calibrate(x.where(F.col("split") == "test"), m, "raw", "cal"), [], "label", "cal")
 
 

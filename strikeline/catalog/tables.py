@@ -322,6 +322,7 @@ def _(spark, d):
     return audit.column_profile(table(spark, d, "lineitem"), list(_COLS))
 
 
+# The audit thresholds of operators/audit.py, stated in SQL.
 _RULES = [
     ("call_delta_range", "\"right\" = 'call' AND (delta < -0.01 OR delta > 1.01)"), ("put_delta_range", "\"right\" = 'put' AND (delta < -1.01 OR delta > 0.01)"), ("gamma_negative", "gamma < -0.0001"), ("gamma_over_05", "gamma > 0.05"),
     ("gamma_zero", "gamma = 0"), ("theta_positive", "theta > 0.01"), ("vega_negative", "vega < -0.01"), ("iv_range", "implied_vol < 0 OR implied_vol > 5"), ("rho_call_negative", "\"right\" = 'call' AND rho < -0.01"),

@@ -59,13 +59,6 @@ def best_by_auc(df: DataFrame, candidates: Mapping[str, PipelineModel], label: s
     return max(scores, key=lambda n: scores[n]), scores
 
 
-def stratified_sample(df: DataFrame, label: str, rows: int, seed: int = 7) -> DataFrame:
-    """Sample each class at the same rate so that about ``rows`` remain."""
-    n = df.count()
-    rate = min(1.0, rows / n) if n else 1.0
-    return df if rate >= 1.0 else df.sampleBy(label, {0: rate, 1: rate}, seed)
-
-
 def grid_search(folds: DataFrame, features: Sequence[str], label: str, grid: Mapping[str, Sequence]) -> DataFrame:
     """Mean validation score of every parameter combination over time-ordered folds.
 

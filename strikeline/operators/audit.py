@@ -50,7 +50,7 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 
 def chain_rules() -> dict[str, Column]:
-    """Sanity rules for an intraday chain with greeks."""
+    """Sanity rules for an intraday chain with greeks. The thresholds below."""
     c = F.col
     call, put = c("right") == "call", c("right") == "put"
     return {

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strikeline.functions.scalar import ColumnLike, col
@@ -203,8 +202,3 @@ def earnings_flags(dates: DataFrame, earnings: DataFrame, date: str, symbol: str
             "is_earnings_day": _int(F.coalesce("earnings_count", F.lit(0)) > 0),
         }
     )
-
-
-def trading_calendar(df: DataFrame, date: str) -> DataFrame:
-    """Distinct dates with their position; bounded by the calendar."""
-    return df.select(date).distinct().select(date, F.row_number().over(W.orderBy(date)).alias("day_no"))

@@ -84,11 +84,6 @@ def max_pain(oi: DataFrame, keys: Sequence[str], legacy: bool = False) -> DataFr
     )
 
 
-def with_oi(greeks: DataFrame, oi: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Greeks joined to positive open interest."""
-    return greeks.join(oi.where(F.col("open_interest") > 0).select(*on, "open_interest"), list(on), "inner")
-
-
 def sign_of(right: str = "right") -> Column:
     return F.when(F.col(right) == "call", 1.0).otherwise(-1.0)
 

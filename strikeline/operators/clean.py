@@ -71,17 +71,6 @@ def drop_matching(df: DataFrame, names: Iterable[str] = (), prefixes: Iterable[s
     return df.drop(*gone)
 
 
-def with_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project to ``schema``: absent columns come in as NULL, present ones are cast leniently."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-    )
-
-
 def sanitize_numeric(df: DataFrame) -> DataFrame:
     """NaN and infinities to NULL in every floating column, in one projection."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, FRACTIONAL)}

@@ -306,6 +306,7 @@ def breadth(daily: DataFrame, keys: Sequence[str], date: str = "date", sectors:
     return x.drop("_r1", "_s20")
 
 
+# Names of the macro series, and those compared by difference.
 MACRO = ("fed_funds_rate", "yield_2y", "yield_10y", "yield_spread_2y10y", "ig_spread", "hy_spread", "wti_crude", "gold_fix_am", "dxy_broad")
 BY_DIFFERENCE = ("fed_funds_rate", "yield_spread_2y10y")
 

@@ -189,14 +189,3 @@ def build_training_table(t: Inputs) -> DataFrame:
     x = family_daily_technicals(x, daily, t)
     x = family_snapshot(x, t.state)
     return sanitize_numeric(family_context(x, t))
-
-
-def latest_vector(table: DataFrame, decision: str) -> DataFrame:
-    """Rows of one decision minute, as live scoring uses them."""
-    return table.where(F.col("decision_datetime") == F.lit(decision).cast("timestamp_ntz"))
-
-
-def distance_to_short(price: str, short: str, atr: str) -> Column:
-    """Cushion to a short strike in units of average range."""
-    return F.try_divide(F.abs(F.col(short) - F.col(price)), atr)
-

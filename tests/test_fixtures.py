@@ -174,3 +174,19 @@ def test_term_slope_and_policy_parameters(spark):
     s = ind.term_slopes("a", "b", "c")
     r = one(df.select(s["slope_ratio"].alias("r"), s["inverted"].alias("i")))
     assert (r.r, r.i) == (pytest.approx(1.25), 1.0)
+
+
+def test_normal_distribution_against_the_error_function(spark):
+    """The price and delta of the library against ``math.erf``, which shares no constants with it."""
+    def cdf(x):
+        return (1 + math.erf(x / math.sqrt(2))) / 2
+
+    rows = [(float(k), vol, days / 365.0, call) for k in (3500, 4400, 5000, 5600, 6500) for vol in (0.05, 0.2, 1.5) for days in (1, 30, 365) for call in (True, False)]
+    df = spark.createDataFrame(rows, "k double, vol double, t double, call boolean")
+    r = F.lit(0.05)
+    got = df.withColumns({"price": bsm.bs_price(F.lit(5000.0), "k", "t", r, "vol", F.col("call")), "delta": bsm.bs_greeks(F.lit(5000.0), "k", "t", r, "vol", F.col("call"))["delta"]})
+    for x in got.collect():
+        d1 = (math.log(5000.0 / x.k) + (0.05 + x.vol**2 / 2) * x.t) / (x.vol * math.sqrt(x.t))
+        d2, sign = d1 - x.vol * math.sqrt(x.t), 1 if x.call else -1
+        price = sign * (5000.0 * cdf(sign * d1) - x.k * math.exp(-0.05 * x.t) * cdf(sign * d2))
+        assert abs(x.price - price) < 2e-3 and abs(x.delta - sign * cdf(sign * d1)) < 1e-6
