@@ -115,11 +115,11 @@ cte("vers", "SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderstatus
 SELECT o_custkey, arg_max(o_orderkey, (batch, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (batch, o_orderkey)) AS o_totalprice FROM vers GROUP BY 1
 """, uses="vers", num="o_totalprice", digits=2)
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", F.pmod("o_custkey", F.lit(8)).alias("bucket"))
     old, new = o.where(F.col("o_orderstatus") == "F").drop("o_orderstatus"), o.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
     path = fresh_path(spark, "vers")
-    writers.overwrite(dedup.keep_one(old, ["o_custkey"], ["o_orderkey"]), path)
-    return writers.write_upsert(spark, new, path, fresh_path(spark, "vers"), ["o_custkey"], ["o_orderkey"])
+    writers.write_upsert(spark, old, path, ["o_custkey"], ["o_orderkey"], ["bucket"])
+    return writers.write_upsert(spark, new, path, ["o_custkey"], ["o_orderkey"], ["bucket"]).drop("bucket")
 
 
 @query("chunk_compaction", "K4 O6", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders", num="o_totalprice", digits=2)

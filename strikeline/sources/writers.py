@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeline.operators.dedup import keep_one, only_missing, replace_overlap, upsert
+from strikeline.plans.tables import settle
 from strikeline.sources.readers import path_exists
 
 
@@ -30,12 +31,19 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str], rows_per_file:
     )
 
 
-def write_upsert(spark: SparkSession, new: DataFrame, path: str, out: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest copy per key of old and new rows, written to a fresh path."""
-    fresh = keep_one(new, keys, order, last=True)
-    merged = upsert(spark.read.parquet(path), fresh, keys) if path_exists(spark, path) else fresh
-    overwrite(merged, out)
-    return spark.read.schema(merged.schema).parquet(out)
+def write_upsert(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Upsert into a table partitioned by ``by``: the newest copy per key of old and new rows.
+
+    The keys decide the partition (a date among them, or a bucket of them), so only partitions that new
+    rows fall into are read, written aside, and replaced; all others stay as they are.
+    """
+    fresh = keep_one(new, keys, order)
+    if path_exists(spark, path):
+        old = spark.read.parquet(path)
+        touched = old.join(fresh.select(*by).distinct(), list(by), "left_semi").select(*fresh.columns)
+        fresh = settle(upsert(touched, fresh, keys), "upsert")
+    write_partitions(fresh, path, by)
+    return spark.read.parquet(path).select(*fresh.columns)
 
 
 def compact(spark: SparkSession, chunks: Sequence[str], out: str) -> DataFrame:

@@ -230,3 +230,17 @@ def test_shared_dir_is_read_from_the_session(spark):
     from strikeline.session import shared_dir
 
     assert os.path.isdir(shared_dir(spark)) and spark.conf.get("spark.checkpoint.dir") == shared_dir(spark)
+
+
+def test_upsert_touches_only_the_partitions_of_new_rows(spark, tmp_path):
+    from strikeline.sources import writers
+
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([(k, 1, k % 4) for k in range(40)], "k long, v int, part long")
+    writers.write_upsert(spark, old, path, ["k"], ["v"], ["part"])
+    before = {p: sorted(os.listdir(f"{path}/part={p}")) for p in range(4)}
+    got = writers.write_upsert(spark, spark.createDataFrame([(5, 2, 1), (5, 3, 1), (101, 9, 1)], old.schema), path, ["k"], ["v"], ["part"])
+    rows = {r.k: r.v for r in got.collect()}
+    assert len(rows) == got.count() == 41 and rows[5] == 3 and rows[101] == 9 and rows[9] == 1
+    after = {p: sorted(os.listdir(f"{path}/part={p}")) for p in range(4)}
+    assert [p for p in range(4) if before[p] != after[p]] == [1]
