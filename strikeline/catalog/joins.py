@@ -216,10 +216,10 @@ def _(spark, d):
 
 
 @query("semi_join_prefilter", "J19 J16", """
-SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45 AND p_retailprice > 950)
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40 AND p_retailprice > 905)
 """, num="l_extendedprice", digits=2)
 def _(spark, d):
-    want = table(spark, d, "part").where((F.col("p_size") > 45) & (F.col("p_retailprice") > 950)).select(F.col("p_partkey").alias("l_partkey"))
+    want = table(spark, d, "part").where((F.col("p_size") > 40) & (F.col("p_retailprice") > 905)).select(F.col("p_partkey").alias("l_partkey"))
     return table(spark, d, "lineitem").join(want, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
