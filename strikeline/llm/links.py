@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strikeline.plans.tables import settle
 
+PAIRS = 4_000_000  # of a cell that are listed at a time
 AT_ONCE = 64  # rows of a cell up to which every pair is checked in one sweep over all cells
 
 
@@ -65,11 +66,7 @@ def per_cell(rows: DataFrame, key: str, fn: Callable[[pa.RecordBatch, np.ndarray
 
 def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows within cells whose values differ in at most ``distance`` bits, one of them standing in the
-    bucket itself (``own``).
-
-    In small cells every such pair is given; in cells where very many rows are close, enough pairs to
-    connect whatever is connected there, and each row's nearest one.
-    """
+    bucket itself (``own``). From a cell with more than ``PAIRS`` of them, enough to connect what they connect."""
     n = len(values)
     ends = np.r_[starts[1:], n]
     sizes = ends - starts
@@ -89,12 +86,11 @@ def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distanc
             part = home[k : k + 256]
             i, j = np.nonzero(np.bitwise_count(all_rows[part, None] ^ all_rows[None, :]) <= distance)
             i = part[i]
-            fresh = (i < j) | ~own[s:e][j]
-            fresh &= i != j
+            fresh = ((i < j) | ~own[s:e][j]) & (i != j)
             got.append((i[fresh], j[fresh]))
             total += int(fresh.sum())
-            if total > 8 * (e - s):
-                got = [_sparse(all_rows, distance)]
+            if total > PAIRS:
+                got = [_connect(all_rows, distance)]
                 break
         for i, j in got:
             left.append(i + s)
@@ -102,30 +98,54 @@ def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distanc
     return np.concatenate(left), np.concatenate(right)
 
 
-def _sparse(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect what is connected by close pairs, and each row with its nearest."""
-    left, right, waiting = [], [], np.arange(len(values))
+def _connect(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect whatever is connected by close pairs, found without listing all of them."""
+    left, right, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(values))
     while len(waiting) > 1:
         queue, waiting = [int(waiting[0])], waiting[1:]
         while queue and len(waiting):
             pivot = queue.pop()
             ok = np.bitwise_count(values[waiting] ^ values[pivot]) <= distance
             found = waiting[ok]
-            if len(found):
-                left.append(np.full(len(found), pivot))
-                right.append(found)
-                queue += found.tolist()
-                waiting = waiting[~ok]
-    for k in range(0, len(values), 256):
-        d = np.bitwise_count(values[k : k + 256, None] ^ values[None, :])
-        d[d == 0] = 255  # itself, and rows of the same value
-        best = d.argmin(axis=1)
-        ok = d[np.arange(len(d)), best] <= distance
-        left.append(np.flatnonzero(ok) + k)
-        right.append(best[ok])
+            left.append(np.full(len(found), pivot))
+            right.append(found)
+            queue += found.tolist()
+            waiting = waiting[~ok]
     return np.concatenate(left), np.concatenate(right)
 
 
+def thin(left: np.ndarray, right: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs; but from cells with more than two a row, each row's nearest, and a spanning forest."""
+    cell = np.searchsorted(starts, left, "right") - 1
+    sizes = np.diff(np.r_[starts, len(values)])
+    counts = np.bincount(cell, minlength=len(starts))
+    heavy = counts > 2 * sizes
+    keep = ~heavy[cell]
+    out = [(left[keep], right[keep])]
+    for c in np.flatnonzero(heavy).tolist():
+        mine = cell == c
+        a, b = np.concatenate([left[mine], right[mine]]), np.concatenate([right[mine], left[mine]])
+        by = np.lexsort((np.bitwise_count(values[a] ^ values[b]), a))
+        a, b = a[by], b[by]
+        nodes, first = np.unique(a, return_index=True)
+        out.append((nodes, b[first]))
+        stop = np.r_[first[1:], len(a)]
+        at = {int(x): k for k, x in enumerate(nodes)}
+        seen = np.zeros(len(values), bool)
+        for root in nodes.tolist():
+            if seen[root]:
+                continue
+            seen[root], queue = True, [root]
+            while queue:
+                x = queue.pop()
+                near = b[first[at[x]] : stop[at[x]]]
+                near = np.unique(near[~seen[near]])
+                seen[near] = True
+                out.append((np.full(len(near), x), near))
+                queue += near.tolist()
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, root``: for every node that has a link, the smallest node it is connected with.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strikeline.llm.common import fresh, map_rows, ref
-from strikeline.llm.links import cells, close_pairs, components, per_cell
+from strikeline.llm.links import cells, close_pairs, components, per_cell, thin
 from strikeline.plans.tables import settle
 
 BITS = 64
@@ -204,6 +204,19 @@ class Plan:
         return np.concatenate(keys), np.concatenate(owners), np.concatenate(own)
 
 
+    def first_meeting(self, part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether two fingerprints that meet in a bucket of ``part`` do not already meet in one of an earlier part."""
+        prints, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        values = self.values(prints)
+        limits = self.thresholds(values)
+        x, y = at[: len(a)], at[len(a) :]
+        new = np.ones(len(a), bool)
+        for i, v in enumerate(values):
+            apart = np.bitwise_count(v[x] ^ v[y])
+            new &= (part <= i) | ((apart > 0) & (apart > np.maximum(limits[x, i], limits[y, i])))
+        return new
+
+
 def plan_for(prints: DataFrame, distance: int) -> Plan:
     n = prints.count()
     plan = Plan(group_bits(correlations(prints), choose_parts(n, distance)), distance, n)
@@ -240,7 +253,11 @@ def links_within(prints: DataFrame, distance: int, cell: int = CELL) -> DataFram
     def verify(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         x = b.column(1).to_numpy()
         # bits of a signed number would be counted without its sign
-        left, right = close_pairs(starts, x.view(np.uint64), b.column(2).to_numpy(zero_copy_only=False), distance)
+        u = x.view(np.uint64)
+        left, right = close_pairs(starts, u, b.column(2).to_numpy(zero_copy_only=False), distance)
+        if len(left):
+            new = plan.first_meeting(b.column(0).to_numpy()[left] >> 40, x[left], x[right])
+            left, right = thin(left[new], right[new], u, starts)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[left], x[right])), pa.array(np.maximum(x[left], x[right]))], names=["a", "b"])
 
     rows = prints.select("fp").mapInArrow(probe, "key long, fp long, own boolean")
@@ -331,7 +348,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key, doc, other, n = fresh(docs, "text_key", "first_id", "first_key", "n_same")
     texts = docs.select(ref(text_col).cast("string").alias("text"))
-    rows = with_fingerprint(with_text_key(docs.select(ref(id_col).alias("doc_id"), ref(text_col).cast("string").alias("text")), "text", "text_key"), "text", shingle, "fp")
+    both = [T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())]
+    rows = docs.select(ref(id_col).alias("doc_id"), ref(text_col).cast("string").alias("text"))
+    rows = map_rows(rows, lambda x: {"text_key": pa.array([text_key(t) for t in x], pa.int64()), "fp": pa.array([fingerprint(t, shingle) for t in x], pa.int64())}, both, "text")
     rows = settle(rows.select("doc_id", "text_key", "fp"), "prints")
     found = roots(rows, distance, lambda links: similar_links(links, rows, texts, shingle, least))
     labelled = rows.join(found, "fp").withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))))

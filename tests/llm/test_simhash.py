@@ -98,3 +98,21 @@ def test_components(spark, shape):
     pairs = {"chain": [(i, i + 1) for i in range(40)], "star": [(100, i) for i in range(50)], "none": []}[shape]
     got = {r.node: r.root for r in links.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == {n: 0 for p in pairs for n in p}
+
+
+@pytest.mark.parametrize("distance", [4, 12])
+def test_a_dense_group_is_connected_by_few_links(spark, distance):
+    """A thousand values around one centre: far fewer links than pairs, the same components."""
+    rng = random.Random(distance)
+    centre, values = rng.getrandbits(62), set()
+    while len(values) < 1000:
+        v = centre
+        for k in rng.sample(range(62), rng.randint(1, distance // 2)):
+            v ^= 1 << k
+        values.add(v)
+    values |= {rng.getrandbits(62) for _ in range(300)}
+    found = simhash.links_within(spark.createDataFrame([(v,) for v in values], "fp long"), distance)
+    rows = found.collect()
+    assert len(rows) < 40_000 and all((r.a ^ r.b).bit_count() <= distance for r in rows)
+    got = {r.node: r.root for r in links.components(found, "a", "b").collect()}
+    assert {v: got.get(v, v) for v in values} == plain_roots(sorted(values), distance)
