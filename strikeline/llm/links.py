@@ -64,13 +64,14 @@ def per_cell(rows: DataFrame, key: str, fn: Callable[[pa.RecordBatch, np.ndarray
     return rows.repartition(key, "cell").sortWithinPartitions(key, "cell").mapInArrow(run, schema)
 
 
-def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows within cells whose values differ in at most ``distance`` bits, one of them standing in the
-    bucket itself (``own``). From a cell with more than ``PAIRS`` of them, enough to connect what they connect."""
+    bucket itself (``own``). From a cell with more than ``PAIRS`` of them, enough to connect what they connect;
+    the third array marks these."""
     n = len(values)
     ends = np.r_[starts[1:], n]
     sizes = ends - starts
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, joined = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     last = np.repeat(np.where(sizes <= AT_ONCE, ends, starts), sizes)  # rows of large cells get no partner here
     rows = np.arange(n)
     for lag in range(1, AT_ONCE):
@@ -80,8 +81,9 @@ def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distanc
         found = rows[(own[rows] | own[rows + lag]) & (np.bitwise_count(values[rows] ^ values[rows + lag]) <= distance)]
         left.append(found)
         right.append(found + lag)
+        joined.append(np.zeros(len(found), bool))
     for s, e in zip(starts[sizes > AT_ONCE].tolist(), ends[sizes > AT_ONCE].tolist()):
-        all_rows, home, total, got = values[s:e], np.flatnonzero(own[s:e]), 0, []
+        all_rows, home, total, got, all_listed = values[s:e], np.flatnonzero(own[s:e]), 0, [], True
         for k in range(0, len(home), 256):
             part = home[k : k + 256]
             i, j = np.nonzero(np.bitwise_count(all_rows[part, None] ^ all_rows[None, :]) <= distance)
@@ -90,12 +92,13 @@ def close_pairs(starts: np.ndarray, values: np.ndarray, own: np.ndarray, distanc
             got.append((i[fresh], j[fresh]))
             total += int(fresh.sum())
             if total > PAIRS:
-                got = [_connect(all_rows, distance)]
+                got, all_listed = [_connect(all_rows, distance)], False
                 break
         for i, j in got:
             left.append(i + s)
             right.append(j + s)
-    return np.concatenate(left), np.concatenate(right)
+            joined.append(np.full(len(i), not all_listed))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(joined)
 
 
 def _connect(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +117,15 @@ def _connect(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(left), np.concatenate(right)
 
 
-def thin(left: np.ndarray, right: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same pairs; but from cells with more than two a row, each row's nearest, and a spanning forest."""
+def thin(left: np.ndarray, right: np.ndarray, joined: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same pairs; but from cells with more than two a row, each row's nearest, and a spanning forest. The third
+    array marks pairs of cells of which pairs are missing, here or before (``joined``)."""
     cell = np.searchsorted(starts, left, "right") - 1
     sizes = np.diff(np.r_[starts, len(values)])
     counts = np.bincount(cell, minlength=len(starts))
     heavy = counts > 2 * sizes
     keep = ~heavy[cell]
-    out = [(left[keep], right[keep])]
+    out, missing = [(left[keep], right[keep])], [joined[keep]]
     for c in np.flatnonzero(heavy).tolist():
         mine = cell == c
         a, b = np.concatenate([left[mine], right[mine]]), np.concatenate([right[mine], left[mine]])
@@ -143,7 +147,8 @@ def thin(left: np.ndarray, right: np.ndarray, values: np.ndarray, starts: np.nda
                 seen[near] = True
                 out.append((np.full(len(near), x), near))
                 queue += near.tolist()
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+    missing += [np.ones(len(x), bool) for x, _ in out[1:]]
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]), np.concatenate(missing)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

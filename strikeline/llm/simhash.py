@@ -37,6 +37,7 @@ PIECE = 11  # bits of the value histograms
 #: Per row that is shuffled to a bucket (2 to 3 microseconds) and per pair that meets there (2 to 20 nanoseconds).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.005
 CELL = 8192
+DENSE, GRAMS = 4096, 512  # fingerprints of a dense group that are compared in a task, with sets of so many shingles
 LISTED = 2_000_000  # text keys, 16 MB, up to which linked texts are picked where they are read
 
 
@@ -241,6 +242,11 @@ def plan_for(prints: DataFrame, distance: int) -> Plan:
 def links_within(prints: DataFrame, distance: int, cell: int = CELL) -> DataFrame:
     """``a, b``: links between the distinct values of column ``fp``: enough that whatever is connected by
     links is connected by these; in buckets of few rows, every link."""
+    return marked_links(prints, distance, cell).select("a", "b").distinct()
+
+
+def marked_links(prints: DataFrame, distance: int, cell: int = CELL) -> DataFrame:
+    """``a, b, dense``: as ``links_within``. Every link is either given, or its ends are connected by the dense ones."""
     plan = plan_for(prints, distance)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,15 +260,16 @@ def links_within(prints: DataFrame, distance: int, cell: int = CELL) -> DataFram
         x = b.column(1).to_numpy()
         # bits of a signed number would be counted without its sign
         u = x.view(np.uint64)
-        left, right = close_pairs(starts, u, b.column(2).to_numpy(zero_copy_only=False), distance)
+        left, right, dense = close_pairs(starts, u, b.column(2).to_numpy(zero_copy_only=False), distance)
         if len(left):
-            new = plan.first_meeting(b.column(0).to_numpy()[left] >> 40, x[left], x[right])
-            left, right = thin(left[new], right[new], u, starts)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[left], x[right])), pa.array(np.maximum(x[left], x[right]))], names=["a", "b"])
+            # of pairs that stand for others, none may go
+            new = dense | plan.first_meeting(b.column(0).to_numpy()[left] >> 40, x[left], x[right])
+            left, right, dense = thin(left[new], right[new], dense[new], u, starts)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[left], x[right])), pa.array(np.maximum(x[left], x[right])), pa.array(dense)], names=["a", "b", "dense"])
 
     rows = prints.select("fp").mapInArrow(probe, "key long, fp long, own boolean")
-    found = per_cell(cells(rows, "key", "fp", cell).select("key", "fp", "own", "cell"), "key", verify, "a long, b long")
-    return found.where("a != b").distinct()
+    found = per_cell(cells(rows, "key", "fp", cell).select("key", "fp", "own", "cell"), "key", verify, "a long, b long, dense boolean")
+    return found.where("a != b").groupBy("a", "b").agg(F.max("dense").alias("dense"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4) -> DataFrame:
@@ -277,10 +284,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(roots(rows, distance), fp).select("doc_id", fp, "component_id")
 
 
-def roots(rows: DataFrame, distance: int, links: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
-    """``fp, component_id`` for the distinct fingerprints of ``rows(doc_id, fp)``; ``links`` may drop some links."""
+def roots(rows: DataFrame, distance: int, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``fp, component_id`` for the distinct fingerprints of ``rows(doc_id, fp)``; ``links`` may replace the links
+    that it is given as those of ``marked_links``."""
     prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    found = components(links(links_within(prints, distance)), "a", "b")
+    found = components(links(marked_links(prints, distance)) if links else links_within(prints, distance), "a", "b")
     node = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = node.where("root != fp").groupBy("root").agg(F.min("first").alias("other"))
     near = node.select("fp", "root", "first").join(least.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"), "left")
@@ -297,15 +305,13 @@ def with_text_key(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     return map_rows(docs, lambda texts: {name: pa.array([text_key(t) for t in texts], pa.int64())}, [T.StructField(name, T.LongType())], text_col)
 
 
-def similar_links(found: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The links whose texts share at least ``least`` of their distinct shingles.
+def shingle_sets(named: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``named(fp, text_key)`` with ``grams``: the sorted hashes of the distinct shingles of each text.
 
-    A fingerprint stands for its text of the smallest ``text_key``; texts are read again only to pick those of
-    linked fingerprints: where they are read while the keys fit in a bounded list, else by a join.
+    Texts are read again only to pick the named ones: where they are read while the keys fit in a bounded list,
+    else by a join.
     """
-    found = settle(found, "candidates")
-    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
-    named = settle(rows.join(ends, "fp").groupBy("fp").agg(F.min("text_key").alias("text_key")), "named")
+    named = settle(named, "named")
     n = named.count()
     wanted = np.sort(named.select("text_key").toArrow().column(0).to_numpy()) if n <= LISTED else None
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
@@ -324,7 +330,15 @@ def similar_links(found: DataFrame, rows: DataFrame, texts: DataFrame, shingle:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["text_key", "grams"])
 
     known = texts.mapInArrow(sets, "text_key long, grams binary")
-    known = named.join(known.dropDuplicates(["text_key"]), "text_key").select("fp", "grams")
+    return named.join(known.dropDuplicates(["text_key"]), "text_key").select("fp", "text_key", "grams")
+
+
+def similar_links(found: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The links whose texts share at least ``least`` of their distinct shingles; a fingerprint stands for its text
+    of the smallest ``text_key``."""
+    found = settle(found, "candidates")
+    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+    known = shingle_sets(rows.join(ends, "fp").groupBy("fp").agg(F.min("text_key").alias("text_key")), texts, shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -339,6 +353,77 @@ def similar_links(found: DataFrame, rows: DataFrame, texts: DataFrame, shingle:
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def all_similar_links(marked: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, least: float, distance: int, most: int = DENSE) -> DataFrame:
+    """``a, b``: links that connect whatever is connected by links within ``distance`` whose texts are similar.
+
+    The given links are verified first, one text for each fingerprint. Where dense ones stand for links that are not
+    given, or a fingerprint has several texts, the fingerprints so connected come together with all their shingle
+    sets, and every two of them within the distance are compared that are not connected yet; of the similar ones,
+    those stay that connect more.
+    """
+    several = rows.groupBy("fp").agg(F.min("text_key").alias("_low"), F.max("text_key").alias("_high")).where("_low != _high")
+    several = settle(several.select("fp", F.lit(True).alias("several")), "several")
+    marked = settle(marked, "marked")
+    for end in ("a", "b"):
+        marked = marked.join(several.withColumnRenamed("fp", end), end, "left").withColumn("dense", F.col("dense") | F.coalesce("several", F.lit(False))).drop("several")
+    marked = settle(marked, "marked")
+    links = settle(similar_links(marked.select("a", "b"), rows, texts, shingle, least), "similar")
+    if marked.where("dense").isEmpty():
+        return links
+    dense = components(marked.where("dense").select("a", "b"), "a", "b").withColumnRenamed("node", "fp").withColumnRenamed("root", "block")
+    labels = components(links, "a", "b").withColumnRenamed("node", "fp").withColumnRenamed("root", "label")
+    dense = settle(dense.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "dense")
+    split = settle(dense.groupBy("block").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("block"), "split")
+    open_rows = settle(dense.join(split, "block"), "open")
+    if open_rows.isEmpty():
+        return links
+    sets = shingle_sets(rows.join(open_rows.select("fp"), "fp").select("fp", "text_key").distinct(), texts, shingle)
+    sets = sets.withColumn("set", F.xxhash64("grams")).groupBy("fp", "set").agg(F.first("grams").alias("grams"))
+    members = settle(open_rows.join(sets, "fp").select("block", "fp", "label", "set", "grams"), "members")
+    # a long set counts as several rows, so that the cells are bounded in bytes
+    counted = members.groupBy("block").agg(F.ceil(F.sum(F.greatest(F.lit(1.0), F.length("grams") / (8 * GRAMS)))).alias("_n"))
+
+    def verify(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        x, label, ends = b.column(1).to_numpy(), b.column(2).to_numpy(), np.r_[starts[1:], b.num_rows]
+        left, right = [], []
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(3).slice(s, e - s)]
+            i, j = similar_forest(x[s:e].view(np.uint64), label[s:e], sets, distance, least)
+            left.append(x[s:e][i])
+            right.append(x[s:e][j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"])
+
+    more = per_cell(cells(members, "block", "set", most, counted).select("block", "fp", "label", "grams", "cell"), "block", verify, "a long, b long")
+    return links.unionByName(more.distinct())
+
+
+def similar_forest(values: np.ndarray, label: np.ndarray, sets: list[np.ndarray], distance: int, least: float) -> tuple[list[int], list[int]]:
+    """Similar pairs within the distance that connect rows of different ``label``, found without listing all pairs."""
+    left, right, size = [], [], np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at, label, has = np.r_[0, np.cumsum(size)], np.unique(label, return_inverse=True)[1], np.zeros(int(ids.max(initial=0)) + 1, bool)
+    for i in range(len(values) - 1):
+        rest = slice(i + 1, len(values))
+        ok = (label[rest] != label[i]) & (np.bitwise_count(values[rest] ^ values[i]) <= distance)
+        ok &= np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])
+        near = np.flatnonzero(ok) + i + 1
+        if not len(near):
+            continue
+        mine = ids[at[i] : at[i + 1]]
+        has[mine] = True
+        for k in range(0, len(near), 1024):
+            part = near[k : k + 1024]
+            start = np.r_[0, np.cumsum(size[part])]
+            both = np.add.reduceat(has[ids[np.repeat(at[part] - start[:-1], size[part]) + np.arange(start[-1])]], start[:-1], dtype=np.int64)
+            for j in part[both >= least * (size[part] + size[i] - both)].tolist():
+                if label[i] != label[j]:
+                    left.append(i)
+                    right.append(j)
+                    label[label == label[j]] = label[i]
+        has[mine] = False
+    return left, right
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 12, least: float = 0.8) -> DataFrame:
     """One document of each group: that with the smallest id (null ids last); columns as given.
 
@@ -352,7 +437,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(ref(id_col).alias("doc_id"), ref(text_col).cast("string").alias("text"))
     rows = map_rows(rows, lambda x: {"text_key": pa.array([text_key(t) for t in x], pa.int64()), "fp": pa.array([fingerprint(t, shingle) for t in x], pa.int64())}, both, "text")
     rows = settle(rows.select("doc_id", "text_key", "fp"), "prints")
-    found = roots(rows, distance, lambda links: similar_links(links, rows, texts, shingle, least))
+    found = roots(rows, distance, lambda links: all_similar_links(links, rows, texts, shingle, least, distance))
     labelled = rows.join(found, "fp").withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))))
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = labelled.where(same).groupBy("doc_id", "group").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n"))

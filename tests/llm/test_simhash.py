@@ -93,6 +93,50 @@ def test_one_of_each_group_stays_with_its_columns(spark):
     assert alone.count() == 1
 
 
+def edited_copies(groups, copies, most):
+    """Copies of a few texts with up to ``most`` words exchanged, so that pairs lie on both sides of similarity 0.8."""
+    rng, out = random.Random(groups * copies), []
+    for g in range(groups):
+        base = prose(400, 100 + g)
+        for k in range(copies):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randint(3, most)):
+                words[at] = f"new{g}x{k}x{at}"
+            out.append(" ".join(words))
+    return out
+
+
+def plain_kept(texts, distance=12, least=0.8):
+    """Brute force: the smallest id of each group of equal fingerprints and similar pairs within the distance."""
+    prints = [plain_print(t, 5) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and (prints[a] ^ prints[b]).bit_count() <= distance:
+                both = len(sets[a] & sets[b])
+                if prints[a] == prints[b] or both >= least * len(sets[a] | sets[b]):
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+    return sorted(i + 1 for i in set(root))
+
+
+@pytest.mark.parametrize(("groups", "copies", "most"), [(4, 60, 7), (1, 400, 8)])
+def test_dense_groups_keep_what_brute_force_keeps(spark, groups, copies, most):
+    """Every similar pair within the distance counts, also where a cell holds very many close pairs."""
+    texts = edited_copies(groups, copies, most)
+    want = plain_kept(texts)
+    assert groups < len(want) < len(texts) / 2
+    assert sorted(r.doc_id for r in simhash.keep_first(docs_frame(spark, texts)).collect()) == want
+
+
+def test_dense_groups_that_are_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash.all_similar_links, "__defaults__", (16,))
+    monkeypatch.setattr(links, "PAIRS", 500)
+    texts = edited_copies(2, 80, 7)
+    assert sorted(r.doc_id for r in simhash.keep_first(docs_frame(spark, texts)).collect()) == plain_kept(texts)
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "none"])
 def test_components(spark, shape):
     pairs = {"chain": [(i, i + 1) for i in range(40)], "star": [(100, i) for i in range(50)], "none": []}[shape]
