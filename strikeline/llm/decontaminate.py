@@ -13,6 +13,7 @@ stated query set: they are taken in blocks of bounded size, each block against a
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -121,8 +122,12 @@ class Items:
                 if got:
                     found.append((i, got[0], lo + got[1], lo + got[2]))
         out: list[tuple[int, int, int, int]] = []
+        taken: dict[int, list[tuple[int, int]]] = {}  # by item, the places given, which do not overlap, in order
         for f in sorted(set(found)):  # fewest edits first
-            if not any(o[0] == f[0] and o[2] < f[3] and f[2] < o[3] for o in out[-64:]):
+            mine = taken.setdefault(f[0], [])
+            at = bisect_left(mine, f[2:])
+            if (not at or mine[at - 1][1] <= f[2]) and (at == len(mine) or f[3] <= mine[at][0]):
+                mine.insert(at, f[2:])
                 out.append(f)
         return out
 

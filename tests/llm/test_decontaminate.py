@@ -88,3 +88,12 @@ def test_long_documents_are_hashed_in_stretches(monkeypatch):
     whole = dc.Items([1], [item], 10, 0.08).search(text)
     monkeypatch.setattr(dc, "STRETCH", 64)
     assert dc.Items([1], [item], 10, 0.08).search(text) == whole != []
+
+
+def test_many_places_of_one_item_do_not_overlap():
+    item = " ".join(prose(12, 1))
+    text = " ".join(w for k in range(150) for w in (item, item[: len(item) - 2] + "##", *prose(3, k)))
+    places = sorted(f[2:] for f in dc.Items([1], [item * 2, ("ab" * 30)][1:], 10, 0.08).search("ab" * 3000))
+    assert len(places) > 64 and all(a[1] <= b[0] for a, b in zip(places, places[1:]))
+    places = sorted(f[2:] for f in dc.Items([1], [item], 10, 0.08).search(text))
+    assert len(places) == 300 and all(a[1] <= b[0] for a, b in zip(places, places[1:]))
