@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import decontaminate, licenses, lines, packing, quality, secrets, sharding, simhash, tokens, warc
+from strikeline.llm import decontaminate, licenses, lines, packing, pieces, quality, secrets, sharding, simhash, tokens, warc
 from strikeline.llm.common import ship, table
 from strikeline.session import shared_dir
 
@@ -170,3 +170,13 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     """All documents in eight contiguous shards of nearly equal bytes."""
     x = sharding.shard(table(spark, d, "documents"), 8)
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Piece ids of every document and the text they decode to, as digests."""
+    model = vocabulary("piece_bpe_32k.model")
+    ids = pieces.encode_texts(table(spark, d, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    back = pieces.decode_ids(ids, model)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
