@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import decontaminate, licenses, lines, packing, pieces, quality, secrets, sharding, simhash, tokens, warc
+from strikeline.llm import decontaminate, licenses, lines, manifest, packing, pieces, quality, secrets, sharding, simhash, tokens, warc
 from strikeline.llm.common import ship, table
 from strikeline.session import shared_dir
 
@@ -171,6 +171,46 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     x = sharding.shard(table(spark, d, "documents"), 8)
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
+# A leaf is H of its fields; trees of the groups, then of their roots; paths, and folds from the changed leaf along them.
+_H = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_H.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_BYTES = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295, {_BYTES}), lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))))"
+OP12_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, coalesce({_CRC} % 7 = 0, false) AS hit,
+    {_LEAF.format(n="(n_chars + 1)")} AS other FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS m FROM d),
+up AS (SELECT lang, 0 AS lvl, pos, leaf AS h, m FROM p
+  UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (m + 1) // 2 FROM up WHERE m > 1 GROUP BY lang, lvl, pos // 2, m),
+g AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS gpos, count(*) OVER () AS m FROM up WHERE m = 1),
+top AS (SELECT 0 AS lvl, gpos AS pos, subroot AS h, m FROM g
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (m + 1) // 2 FROM top WHERE m > 1 GROUP BY lvl, pos // 2, m),
+path AS MATERIALIZED (
+  SELECT r, l.lvl, (p.pos >> l.lvl) & 1 AS bit, up.h FROM p JOIN (SELECT DISTINCT lang, lvl FROM up WHERE m > 1) l ON l.lang IS NOT DISTINCT FROM p.lang
+    LEFT JOIN up ON up.lang IS NOT DISTINCT FROM p.lang AND up.lvl = l.lvl AND up.pos = xor(p.pos >> l.lvl, 1)
+  UNION ALL SELECT r, 1000 + l.lvl, (g.gpos >> l.lvl) & 1, top.h FROM p JOIN g ON g.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE m > 1) l
+    LEFT JOIN top ON top.lvl = l.lvl AND top.pos = xor(g.gpos >> l.lvl, 1)),
+s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k FROM path),
+f AS (SELECT r, 0 AS k, CASE WHEN hit AND other IS NOT NULL THEN other ELSE leaf END AS h FROM p
+  UNION ALL SELECT f.r, f.k + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.bit = 0 THEN f.h || s.h ELSE s.h || f.h END) FROM f JOIN s ON s.r = f.r AND s.k = f.k + 1),
+last AS (SELECT r, arg_max(h, k) AS folded FROM f GROUP BY r),
+proof AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof FROM path GROUP BY r)
+SELECT doc_id, leaf, g.subroot, t.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM p JOIN g ON g.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT h FROM top WHERE m = 1) t JOIN last USING (r) LEFT JOIN proof USING (r)
+"""
+
+
+@query("op12_manifest", OP12_SQL)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its leaf gives where a seventh of them is tampered with."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = [F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars")) if c == "n_chars" else F.col(c) for c in fields]
+    x = manifest.manifest(table(spark, d, "documents"), fields, changed=changed)
+    x = manifest.with_folds(x, F.coalesce("changed", "leaf"))
+    hexed = {c: F.lower(F.hex(n)) for c, n in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof_sha256", "proof"), ("folded_root", "folded"))}
+    return x.select("doc_id", *[e.alias(c) for c, e in hexed.items()], (F.col("folded") == F.col("root")).alias("verified"))
+
 
 @query("op13_sentencepiece")
 def op13(spark: SparkSession, d: str) -> DataFrame:

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_licenses": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
     "op9_decontamination": {"doc_id": "bigint", "item_id": "bigint", "edits": "bigint", "start": "bigint", "end": "bigint"},
     "op10_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op12_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
     "op13_sentencepiece": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
@@ -41,7 +42,7 @@ def test_columns_and_rows(spark, sf_dir, name):
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
     rows = df.toPandas()
     assert len(rows)
-    if name in ("op3_quality", "op4_simhash", "op5_tokens", "op8_licenses", "op10_sharding", "op13_sentencepiece"):
+    if name in ("op3_quality", "op4_simhash", "op5_tokens", "op8_licenses", "op10_sharding", "op12_manifest", "op13_sentencepiece"):
         assert sorted(rows.doc_id) == sorted(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
     if name in ORACLES:
         con = duckdb.connect()
