@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import decontaminate, licenses, lines, manifest, packing, pieces, quality, secrets, sharding, simhash, tokens, warc
+from strikeline.llm import decontaminate, licenses, lines, manifest, packing, pieces, quality, secrets, sharding, simhash, spelling, tokens, warc
 from strikeline.llm.common import ship, table
 from strikeline.session import shared_dir
 
@@ -171,6 +171,31 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     x = sharding.shard(table(spark, d, "documents"), 8)
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
+# Near words share what is left without the letter of one place, or one is what is left of the other.
+_SLIP = """CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END"""
+_STEPS = "flatten(list_transform(range(octet_length(b)), lambda i: [CAST('0x' || substr(hex(b), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+OP11_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+u AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM t GROUP BY ALL),
+b AS (SELECT run, k, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS b FROM u),
+h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, {_STEPS}), lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1)))) AS h FROM b),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT {_SLIP} AS word, k FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+r AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT x.word AS a, y.word AS b FROM r x JOIN r y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT rest, r.word FROM r JOIN w ON w.word = rest UNION SELECT r.word, rest FROM r JOIN w ON w.word = rest),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-y.n, b)) AS top, max(y.n) AS top_n FROM near JOIN w y ON y.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * n THEN top END AS form, CASE WHEN top_n >= 2 * n THEN top_n END AS form_n FROM w LEFT JOIN best USING (word)),
+c AS (SELECT word, word AS last FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word) JOIN f e ON e.word = c.last WHERE e.form IS NULL
+"""
+
+
+@query("op11_spelling", OP11_SQL)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all documents, one distinct run of a document in 97 with a letter lost, with their forms and roots."""
+    return spelling.spelling_variants(table(spark, d, "documents"), slips=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 # A leaf is H of its fields; trees of the groups, then of their roots; paths, and folds from the changed leaf along them.
 _H = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
 _LEAF = "sha256(" + " || ".join(_H.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
