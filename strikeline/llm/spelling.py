@@ -11,7 +11,8 @@ length, and the few pairs found are verified.
 
 A list (bigram, place, length) in which more than ``LIST``\\ :sup:`2` pairs would meet is not
 paired: its words are looked up by what is left of them without one letter, under which at
-most one word per letter of the alphabet can meet. So no list grows into all pairs.
+most one word per letter of the alphabet can meet. So no list grows into all pairs. Words
+of more than ``LONG`` code points are always looked up in that way, by hashes of their rests.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from strikeline.plans.tables import settle
 
 SHORTEST, LEAST = 5, 3  # code points of a word, and occurrences
 HELD = 250_000  # distinct words counted in a task before they are sent on
-LIST = 512
+LIST, LONG = 512, 64
+MERSENNE, BASE = (1 << 61) - 1, 1_000_003  # of the polynomial hashes of rests
 RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")  # UTF-8 of a-z and U+00C0 to U+00FF
 
 
@@ -139,7 +141,8 @@ def _without_one(word: Column) -> Column:
 
 def near_pairs(words: DataFrame, list_size: int = LIST) -> DataFrame:
     """``a, b``: all ordered pairs of words that differ by one inserted, deleted or replaced code point, each once."""
-    posted = settle(postings(words, gram_counts(words)), "postings")
+    usual = words.where(F.length("word") <= LONG)
+    posted = settle(postings(usual, gram_counts(usual)), "postings")
     key = ["gram", "place", "size"]
     sizes = posted.groupBy(*key).agg(F.count_if("pivot").alias("k"), F.count_if(~F.col("pivot")).alias("m"))
     long_lists = settle(sizes.where((F.col("k") * F.col("m") > list_size * list_size)).select(*key), "lists")
@@ -152,6 +155,7 @@ def near_pairs(words: DataFrame, list_size: int = LIST) -> DataFrame:
     else:
         found = s.join(long_lists, key, "left_anti").join(r.join(long_lists, key, "left_anti"), key).where(reaches & one).select("s", "r")
         found = found.unionByName(_by_rest(s.join(long_lists, key, "left_semi"), r.join(long_lists, key, "left_semi")))
+    found = found.unionByName(_long_pairs(words.where(F.length("word") >= LONG)))
     pairs = settle(found.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct(), "pairs")
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -167,6 +171,41 @@ def _by_rest(s: DataFrame, r: DataFrame) -> DataFrame:
     return swapped.select("s", "r").unionByName(grown.select("s", "r")).unionByName(shrunk.select("s", "r")).where("s != r")
 
 
+def _long_pairs(words: DataFrame) -> DataFrame:
+    """``s, r``: pairs of long words of which one or both, less a letter, have equal 61-bit hashes, verified at that place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for word, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ends = [0]  # hashes of what follows each place
+                power = 1
+                for c in reversed(word):
+                    ends.append((ends[-1] + ord(c) * power) % MERSENNE)
+                    power = power * BASE % MERSENNE
+                ends.reverse()
+                step, before, hashes = pow(BASE, -1, MERSENNE), 0, [ends[0]]
+                weight = power * step % MERSENNE  # of the first letter of the word; of a rest, one power less
+                for c, end in zip(word, ends[1:]):
+                    hashes.append((before + end) % MERSENNE)
+                    weight = weight * step % MERSENNE
+                    before = (before + ord(c) * weight) % MERSENNE
+                n = len(word)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * (n + 1), pa.int64()), pa.array([n] + [n - 1] * n, pa.int32()), pa.array(range(-1, n), pa.int32()), pa.array(hashes, pa.int64())], names=["key", "size", "at", "hash"])
+
+    keyed = words.select("word", F.xxhash64("word").alias("key"))
+    rests = settle(keyed.mapInArrow(run, "key long, size int, at int, hash long"), "rests")
+    whole = rests.where("at < 0").select("size", "hash", F.col("key").alias("s_key"))
+    cut = rests.where("at >= 0")
+    swapped = cut.select("size", "hash", "at", F.col("key").alias("s_key")).join(cut.select("size", "hash", "at", F.col("key").alias("r_key")), ["size", "hash", "at"]).where("s_key < r_key")
+    grown = whole.join(cut.select("size", "hash", "at", F.col("key").alias("r_key")), ["size", "hash"])
+    keys = swapped.select("s_key", "r_key", "at", F.lit(True).alias("both")).unionByName(grown.select("s_key", "r_key", "at", F.lit(False).alias("both")))
+    keys = keys.groupBy("s_key", "r_key", "both").agg(F.min("at").alias("at"))
+    named = {n: keyed.select(F.col("word").alias(n), F.col("key").alias(f"{n}_key")) for n in "sr"}
+    rest = {n: F.concat(F.col(n).substr(F.lit(1), F.col("at")), F.col(n).substr(F.col("at") + 2, F.length(n))) for n in "sr"}
+    same = (F.col("s") != F.col("r")) & (F.when(F.col("both"), rest["s"]).otherwise(F.col("s")) == rest["r"])
+    return keys.join(named["s"], "s_key").join(named["r"], "r_key").where(same).select("s", "r")
+
+
 def variants(words: DataFrame, ratio: int = 2, list_size: int = LIST) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` for every row of ``word, n`` (distinct words of at least five code points).
 
