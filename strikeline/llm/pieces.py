@@ -58,7 +58,7 @@ class Pieces:
         self.sizes = [len(p) for p in self.names]
         self.matches = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.matches.add_word(p, (i, len(p) - 1))
+            self.matches.add_word(p, i)
         self.matches.make_automaton()
         self.stories: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
         self.shorter: dict[int, int] = {}
@@ -119,10 +119,11 @@ class Pieces:
         """The piece ids of a unit; a character without a piece is the negative of its code point less two."""
         n = len(unit)
         longest = [-1] * n
-        for end, (i, back) in self.matches.iter(unit):
-            longest[end - back] = i
-        fits, sizes, shorter = self.fits, self.sizes, self.shorter
-        failed, out, pos, piece, before = bytearray((n >> 3) + 1), [], 0, -1, -1
+        fits, sizes, shorter, many = self.fits, self.sizes, self.shorter, len(self.names)
+        for end, i in self.matches.iter(unit):
+            longest[end - sizes[i] + 1] = i
+        failed: bytearray | None = None  # made where the first place fails
+        out, pos, before = [], 0, -1
         piece = longest[0] if n else -1
         while pos < n:
             if piece == -1 and longest[pos] == -1:  # merges with nothing
@@ -132,8 +133,8 @@ class Pieces:
                 continue
             while piece >= 0:
                 end = pos + sizes[piece]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    pair = (before + 1) << 32 | piece
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    pair = (before + 1) * many + piece
                     ok = fits.get(pair)
                     if ok is None:
                         if len(fits) >= MEMO:
@@ -148,6 +149,8 @@ class Pieces:
                 before, pos = piece, end
                 piece = longest[pos] if pos < n else -1
             else:  # nothing fits from here behind the piece before: take that back
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 piece = out.pop()
                 pos -= sizes[piece]
@@ -156,11 +159,11 @@ class Pieces:
 
     def unit_ids(self, unit: str) -> bytes:
         """The ids of a unit as 32-bit integers in a row. Units seen lately are remembered, in two generations."""
-        got = self.older.get(unit)
+        got = self.memo.get(unit) or self.older.get(unit)
         if got is None:
-            ids: list[int] = []
-            for i in self.split(unit.replace(" ", BLANK)):
-                ids += [i] if i >= 0 else [self.byte_ids[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")]
+            ids = self.split(unit.replace(" ", BLANK))
+            if min(ids) < 0:
+                ids = [x for i in ids for x in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")])]
             got = array("i", ids).tobytes()
         if len(unit) <= LONGEST:
             if len(self.memo) >= MEMO:
@@ -173,13 +176,10 @@ class Pieces:
         if not text:
             return b""
         whole = " " + text.replace(BLANK, " ")
-        known, out = self.memo.get, []
-        for u in [whole] if self.one_unit else UNITS.findall(whole):
-            got = known(u)
-            if got is None:
-                got = self.unit_ids(u)
-                known = self.memo.get
-            out.append(got)
+        units = [whole] if self.one_unit else UNITS.findall(whole)
+        out = list(map(self.memo.get, units))
+        if None in out:
+            out = [self.unit_ids(u) if got is None else got for u, got in zip(units, out)]
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
