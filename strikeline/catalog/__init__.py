@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pipelines", "series", "joins", "chains", "evaluation", "scalars", "tables", "learning", "streams")
+MODULES = ("pipelines", "series", "joins", "chains", "evaluation", "scalars", "tables", "learning", "streams", "ticks")
 
 
 def load() -> dict:
