@@ -62,45 +62,51 @@ def ewm_over_ticks(df: DataFrame, keys: Sequence[str], order: str, specs: dict[s
     """
     w, upto, past = _local(keys, order, slice_col)
     columns, slices = df.columns, [*keys, slice_col]
-    x = df.withColumn("_pos", F.row_number().over(w))
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    for i, (out, (c, alpha, min_periods)) in enumerate(specs.items()):
-        v = F.col(c)
-        x = x.withColumn(f"_z{i}", v)
-        x = with_ewm(x, slices, order, {f"_z{i}": (f"_z{i}", alpha, 1)}, ignore_null)
-        before = F.last(F.when(v.isNotNull(), F.col("_pos")), ignorenulls=True).over(past)
-        x = x.withColumn("_before", before)
-        gap = F.lit(1.0) if ignore_null else (F.col("_pos") - F.col("_before")).cast("double")
-        if alpha >= 1.0:
-            left = F.lit(0.0)
-        else:
-            kept = F.pow(F.lit(1.0 - alpha), gap)
-            left = F.when(v.isNull() | F.col("_before").isNull(), 0.0).otherwise(gap * F.lit(-math.log(1.0 - alpha)) + F.log(kept + F.lit(alpha)))
-        x = x.withColumn("_age", left).withColumns({f"_d{i}": F.exp(-F.sum("_age").over(upto)), f"_k{i}": F.count(v).over(upto)}).drop("_before", "_age")
-        value_pos = F.when(v.isNotNull(), F.col("_pos"))
-        maps = x.groupBy(*slices).agg(
-            F.max("_pos").alias("_rows"), F.min(value_pos).alias("_first"), F.max(value_pos).alias("_last"), F.count(v).alias("_values"),
-            F.min_by(v, value_pos).cast("double").alias("_x"), F.max_by(f"_z{i}", "_pos").alias("_z"), F.max_by(f"_d{i}", "_pos").alias("_d"))
-        earlier = by.orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
-        maps = settle(maps, "slices").withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        maps = maps.withColumns({"_since": F.col("_start") + F.col("_first") - F.last(F.col("_start") + F.col("_last"), ignorenulls=True).over(earlier), "_seen": F.coalesce(F.sum("_values").over(earlier), F.lit(0))})
-        if alpha >= 1.0:
-            share = F.lit(0.0)
-        else:
-            kept = F.lit(1.0 - alpha) if ignore_null else F.pow(F.lit(1.0 - alpha), F.col("_since").cast("double"))
-            share = kept / (kept + F.lit(alpha))
-        none = F.col("_values") == 0
-        maps = maps.withColumn("_s", F.when(F.col("_seen") > 0, share).otherwise(0.0))
-        pull = F.col("_d") * F.col("_s")
-        maps = settle(maps.withColumns({"_a": F.when(none, 1.0).otherwise(pull), "_b": F.when(none, 0.0).otherwise(F.col("_z") - pull * F.col("_x"))}), "slices")
-        state = states_before(maps, keys, ["_a", "_b"], lambda p, q: {"_a": q["_a"] * p["_a"], "_b": q["_a"] * p["_b"] + q["_b"]}, slice_col)
-        carried = null_safe_join(maps.select(*slices, "_x", "_s", "_seen"), state.select(*slices, F.col("_b").alias("_in")), slices)
-        x = null_safe_join(x, carried, slices)
-        known = F.col("_seen") > 0
-        y = F.when(F.col(f"_k{i}") == 0, F.when(known, F.col("_in"))).otherwise(F.when(known, F.col(f"_z{i}") + F.col(f"_d{i}") * F.col("_s") * (F.col("_in") - F.col("_x"))).otherwise(F.col(f"_z{i}")))
-        enough = F.col(f"_k{i}") + F.col("_seen") >= max(1, min_periods)
-        x = x.withColumn(f"_mean{i}", F.when(enough, y)).drop(f"_z{i}", f"_d{i}", f"_k{i}", "_x", "_s", "_seen", "_in")
-    return x.select(*[c for c in columns if c not in specs], *[F.col(f"_mean{i}").alias(o) for i, o in enumerate(specs)])
+    by = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
+
+    def kept(alpha: float, gap: Column) -> Column:
+        return F.lit(1.0 - alpha) if ignore_null else F.pow(F.lit(1.0 - alpha), gap.cast("double"))
+
+    x = df.withColumns({"_pos": F.row_number().over(w), **{f"_z{i}": F.col(c) for i, (c, _, _) in enumerate(specs.values())}})
+    x = with_ewm(x, slices, order, {f"_z{i}": (f"_z{i}", alpha, 1) for i, (_, alpha, _) in enumerate(specs.values())}, ignore_null)
+    x = x.withColumns({f"_p{i}": F.last(F.when(F.col(c).isNotNull(), F.col("_pos")), ignorenulls=True).over(past) for i, (c, _, _) in enumerate(specs.values())})
+    ages = {}
+    for i, (c, alpha, _) in enumerate(specs.values()):
+        gap = F.lit(1) if ignore_null else F.col("_pos") - F.col(f"_p{i}")
+        left = F.lit(0.0) if alpha >= 1.0 else gap * F.lit(-math.log(1.0 - alpha)) + F.log(kept(alpha, gap) + F.lit(alpha))
+        ages[f"_g{i}"] = F.when(F.col(c).isNull() | F.col(f"_p{i}").isNull(), 0.0).otherwise(left)
+    x = x.withColumns(ages)
+    x = x.withColumns({n: e for i, (c, _, _) in enumerate(specs.values()) for n, e in ((f"_d{i}", F.exp(-F.sum(f"_g{i}").over(upto))), (f"_k{i}", F.count(F.col(c)).over(upto)))})
+    x = settle(x.drop(*[f"_{t}{i}" for i in range(len(specs)) for t in "pg"]), "local")
+
+    found = [F.max("_pos").alias("_rows")]
+    for i, (c, _, _) in enumerate(specs.values()):
+        value_pos = F.when(F.col(c).isNotNull(), F.col("_pos"))
+        found += [F.min(value_pos).alias(f"_f{i}"), F.max(value_pos).alias(f"_l{i}"), F.count(F.col(c)).alias(f"_n{i}")]
+        found += [F.min_by(F.col(c), value_pos).cast("double").alias(f"_x{i}"), F.max_by(f"_z{i}", "_pos").alias(f"_z{i}"), F.max_by(f"_d{i}", "_pos").alias(f"_d{i}")]
+    maps = x.groupBy(*slices).agg(*found).withColumn("_start", F.coalesce(F.sum("_rows").over(by), F.lit(0)))
+    for i, (_, alpha, _) in enumerate(specs.values()):
+        since = F.col("_start") + F.col(f"_f{i}") - F.last(F.col("_start") + F.col(f"_l{i}"), ignorenulls=True).over(by)
+        maps = maps.withColumns({f"_since{i}": since, f"_seen{i}": F.coalesce(F.sum(f"_n{i}").over(by), F.lit(0))})
+        share = F.lit(0.0) if alpha >= 1.0 else kept(alpha, F.col(f"_since{i}")) / (kept(alpha, F.col(f"_since{i}")) + F.lit(alpha))
+        maps = maps.withColumn(f"_s{i}", F.when(F.col(f"_seen{i}") > 0, share).otherwise(0.0))
+        none, pull = F.col(f"_n{i}") == 0, F.col(f"_d{i}") * F.col(f"_s{i}")
+        maps = maps.withColumns({f"_a{i}": F.when(none, 1.0).otherwise(pull), f"_b{i}": F.when(none, 0.0).otherwise(F.col(f"_z{i}") - pull * F.col(f"_x{i}"))})
+    maps = settle(maps, "slices")
+
+    def compose(p: State, q: State) -> State:
+        return {n: e for i in range(len(specs)) for n, e in ((f"_a{i}", q[f"_a{i}"] * p[f"_a{i}"]), (f"_b{i}", q[f"_a{i}"] * p[f"_b{i}"] + q[f"_b{i}"]))}
+
+    state = states_before(maps, keys, [f"_{t}{i}" for i in range(len(specs)) for t in "ab"], compose, slice_col)
+    state = state.select(*slices, *[F.col(f"_b{i}").alias(f"_in{i}") for i in range(len(specs))])
+    carried = null_safe_join(maps.select(*slices, *[f"{t}{i}" for i in range(len(specs)) for t in ("_x", "_s", "_seen")]), state, slices)
+    x, means = null_safe_join(x, carried, slices), []
+    for i, (out, (_, _, min_periods)) in enumerate(specs.items()):
+        known, own = F.col(f"_seen{i}") > 0, F.col(f"_z{i}")
+        moved = own + F.col(f"_d{i}") * F.col(f"_s{i}") * (F.col(f"_in{i}") - F.col(f"_x{i}"))
+        y = F.when(F.col(f"_k{i}") == 0, F.when(known, F.col(f"_in{i}"))).otherwise(F.when(known, moved).otherwise(own))
+        means.append(F.when(F.col(f"_k{i}") + F.col(f"_seen{i}") >= max(1, min_periods), y).alias(out))
+    return x.select(*[c for c in columns if c not in specs], *means)
 
 
 def cusum_over_ticks(df: DataFrame, keys: Sequence[str], order: str, returns: ColumnLike, mean: ColumnLike, drift: ColumnLike, slice_col: str = SLICE, up: str = "cusum_up", down: str = "cusum_down") -> DataFrame:
