@@ -16,7 +16,7 @@ row of one document waits for another partition, and no group can become hot.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -62,7 +62,19 @@ def byte_pair(path: str):  # noqa: ANN201
     # fixed values: the pattern that splits text before merging in this family of vocabularies
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: np.asarray(coder.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
+    slow: list = []  # the library itself, loaded once a text needs it
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return np.asarray(coder.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
+        except ValueError:  # a run of white space too long for this splitter; the ids are the same
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    return encode
 
 
 def _byte_letters() -> dict[int, str]:
@@ -81,14 +93,14 @@ class Packer:
         self.by_length: list[list] = [[] for _ in range(self.tiers[-1] + 1)]
         self.lengths, self.waiting, self.rows = 0, 0, []
 
-    def add(self, key, total: int) -> None:  # noqa: ANN001
-        """Deal out one document: whole windows now, the rest into the pool."""
+    def add(self, key, total: int, rest: Callable[[int], tuple] | None = None) -> None:  # noqa: ANN001
+        """Deal out one document: whole windows now, what remains into the pool, under the key that ``rest`` gives for its start."""
         longest, start = self.tiers[-1], 0
         while total - start >= longest:
             self._emit([(key, start, longest, total)], longest)
             start += longest
-        if total > start:
-            self._put((key, start, total - start, total))
+        if total > start:  # the pool keeps the rest of the ids, not those of the whole document
+            self._put((rest(start) if rest and start else key, start, total - start, total))
 
     def _put(self, piece: tuple) -> None:
         if piece[2] in self.tiers:
@@ -169,7 +181,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             arrow = b.schema.field(0).type
             for doc, text in zip(b.column(0), b.column(1).to_pylist()):
                 ids = np.concatenate([encode(text), tail])
-                packer.add((doc, ids.tobytes()), len(ids))
+                data = ids.tobytes()
+                packer.add((doc, data, 0), len(ids), lambda start, doc=doc, data=data: (doc, data[4 * start :], start))
                 size += len(ids)
                 if packer.waiting >= pool:
                     packer.flush(False)
@@ -186,7 +199,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             part = rows[i : i + 8192]
             cols = list(zip(*part))
             keys = pa.array([k[0].as_py() for k in cols[0]], arrow)
-            ids = pa.array([k[1][4 * s : 4 * (s + n)] for k, s, n in zip(cols[0], cols[1], cols[2])], pa.binary())
+            ids = pa.array([k[1][4 * (s - k[2]) : 4 * (s - k[2] + n)] for k, s, n in zip(cols[0], cols[1], cols[2])], pa.binary())
             longs = [pa.array(c, pa.int64()) for c in cols[1:6]]
             yield pa.RecordBatch.from_arrays([keys, *longs, pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.int64()), ids], names=schema.names)
 

@@ -72,3 +72,16 @@ def test_packer_fills_windows_without_loss():
     for r in p.rows:
         filled[r[4]] += r[2]
     assert sum(n not in (8, 16, 32) for n in filled.values()) <= 1
+
+
+def test_runs_of_two_million_characters(spark):
+    texts = [" " * 2_000_000, "x" + "\n" * 1_500_000 + "y", "a" * 2_000_000, "-" * 2_000_000, "short"]
+    check(pieces(packing.pack(docs_frame(spark, texts).coalesce(1), vocabulary(FILE))), texts, [1, 2, 3, 4, 5])
+
+
+def test_the_pool_keeps_only_the_rest_of_a_long_document():
+    packer = packing.Packer((1024, 512), 0, 16384)
+    data = bytes(4 * 100_500)
+    packer.add((7, data, 0), 100_500, lambda start: (7, data[4 * start :], start))
+    held = [p for length in packer.by_length for p in length]
+    assert [(len(k[1]), k[2], start, n) for k, start, n, _ in held] == [(4 * (100_500 % 1024), 100_500 // 1024 * 1024, 100_500 // 1024 * 1024, 100_500 % 1024)]
