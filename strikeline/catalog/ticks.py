@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strikeline.catalog import base
 from strikeline.catalog.base import query
 from strikeline.operators import scan
+from strikeline.operators.picks import non_overlapping_sliced
 from strikeline.operators.ranks import rank_over_ticks
 from strikeline.operators.slicing import with_time_slice
 from strikeline.operators.windows import span
@@ -93,3 +94,15 @@ def _(spark, d):
 @query("percentile_rank_long_frame", "W11", _ranks("ORDER BY ts, event_id ROWS 9999 PRECEDING"), num="pct_rank share_le", digits=9)
 def _(spark, d):
     return rank_over_ticks(_events(spark, d), [], ["ts", "event_id"], "value", 10_000, 20).select("event_id", "pct_rank", "share_le")
+
+
+@query("non_overlapping_over_ticks", "L8", """
+WITH RECURSIVE t AS MATERIALIZED (SELECT event_id, event_type, ts, ts + to_minutes(CAST(floor(value) AS BIGINT)) AS done_at, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT event_type, CAST(0 AS BIGINT) AS k, TIMESTAMP '1900-01-01' AS free, CAST(NULL AS BIGINT) AS event_id, false AS pick FROM (SELECT DISTINCT event_type FROM t)
+  UNION ALL SELECT n.event_type, n.k, CASE WHEN n.ts >= w.free AND n.event_id % 10 > 0 THEN n.done_at ELSE w.free END, n.event_id, n.ts >= w.free FROM w JOIN t n ON n.event_type = w.event_type AND n.k = w.k + 1)
+SELECT event_id, event_type, CAST(event_id % 10 = 0 AS BIGINT) AS passive FROM w WHERE pick
+""")
+def _(spark, d):
+    e = base.table(spark, d, "events").select("event_id", "event_type", "ts", F.expr("ts + make_dt_interval(0, 0, CAST(floor(value) AS INT), 0)").alias("done_at"))
+    x = non_overlapping_sliced(e, ["event_type"], "ts", "done_at", ["event_id"], 86_400, passive=F.col("event_id") % 10 == 0)
+    return x.select("event_id", "event_type", F.col("passive").cast("long").alias("passive"))
