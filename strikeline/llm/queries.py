@@ -138,10 +138,10 @@ tp AS (SELECT k, unnest(tw) AS x, unnest(range(len(tw))) AS place FROM t),
 s AS MATERIALIZED (SELECT r, doc_id, x, i - 1 AS i FROM (SELECT r, doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)
   WHERE x IN (SELECT x FROM tp UNION SELECT unnest(q) FROM b)),
 f AS (SELECT x, count(DISTINCT r) AS df FROM s WHERE x IN (SELECT x FROM tp) GROUP BY 1),
-rare AS (SELECT x, df FROM f WHERE df <= greatest(1.0, 0.1 * (SELECT count(*) FROM d))),
+rare AS (SELECT x FROM f),
 hit AS (SELECT s.r, s.i, b.label FROM s JOIN b ON s.x = b.q[1] JOIN d USING (r) WHERE d.w[s.i + 1:s.i + len(b.q)] = b.q),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS bl FROM hit GROUP BY 1),
-top AS (SELECT r, x FROM (SELECT DISTINCT s.r, s.x, rare.df FROM s JOIN rare USING (x)) QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, x) <= 32),
+top AS (SELECT DISTINCT s.r, s.x FROM s JOIN rare USING (x)),
 o AS (SELECT s.r, tp.k, s.i - tp.place AS start, count(*) AS n FROM s JOIN top USING (r, x) JOIN tp USING (x) GROUP BY ALL),
 reach AS (SELECT k, count(*) AS reach FROM tp JOIN rare USING (x) GROUP BY 1),
 c AS (SELECT o.r, t.label, n, reach, phrases, ' ' || array_to_string(d.w[greatest(start, 0) + 1:start + len(tw)], ' ') || ' ' AS covered
