@@ -9,6 +9,7 @@ from strikeline.catalog.base import query
 from strikeline.operators import scan
 from strikeline.operators.picks import non_overlapping_sliced
 from strikeline.operators.ranks import rank_over_ticks
+from strikeline.operators.reach import first_touch_far
 from strikeline.operators.slicing import with_time_slice
 from strikeline.operators.windows import span
 
@@ -106,3 +107,16 @@ def _(spark, d):
     e = base.table(spark, d, "events").select("event_id", "event_type", "ts", F.expr("ts + make_dt_interval(0, 0, CAST(floor(value) AS INT), 0)").alias("done_at"))
     x = non_overlapping_sliced(e, ["event_type"], "ts", "done_at", ["event_id"], 86_400, passive=F.col("event_id") % 10 == 0)
     return x.select("event_id", "event_type", F.col("passive").cast("long").alias("passive"))
+
+
+@query("barrier_race_long_horizon", "J20 L3", """
+SELECT s.event_id, min(e.ts) FILTER (e.value >= s.value + 300) AS up_t, min(e.ts) FILTER (e.value <= s.value * 0.0005) AS down_t, max(e.ts) AS last_t, arg_max(e.value, e.ts) AS last_v
+FROM events s JOIN events e ON e.event_type = s.event_type AND e.ts > s.ts AND e.ts <= s.ts + INTERVAL 20 DAY WHERE s.event_type IN ('signup', 'view') GROUP BY 1
+""", num="last_v", time="up_t down_t last_t")
+def _(spark, d):
+    """Twenty days in slices of two minutes: 14,400 slices a horizon."""
+    e = base.table(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    s = e.where(F.col("event_type").isin("signup", "view")).select(
+        "event_id", "ts", "event_type", (F.col("value") + 300).alias("up"), (F.col("value") * 0.0005).alias("down"), (F.col("ts") + F.expr("INTERVAL 20 DAYS")).alias("z"))
+    x = first_touch_far(s, e, ["event_type"], ["event_id"], "ts", "z", "ts", "value", [("up", ">=", "up"), ("down", "<=", "down")], 120)
+    return x.select("event_id", "up_t", "down_t", "last_t", "last_v")
