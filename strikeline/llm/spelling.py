@@ -9,7 +9,7 @@ s does not reach further than that of r, a pivot of s that survives in r lies
 in the prefix of r. So pivots look up prefixes of words whose prefix ends no earlier, by bigram, place and
 length, and the few pairs found are verified.
 
-A list (bigram, place, length) in which more than ``LIST``\\ :sup:`2` pairs would meet is not
+A list (bigram, place, length) in which more than ``LIST`` squared pairs would meet is not
 paired: its words are looked up by what is left of them without one letter, under which at
 most one word per letter of the alphabet can meet. So no list grows into all pairs. Words
 of more than ``LONG`` code points are always looked up in that way, by hashes of their rests.
@@ -135,8 +135,7 @@ def postings(words: DataFrame, counts: dict[str, int]) -> DataFrame:
 
 def _without_one(word: Column) -> Column:
     """What is left of a word without one letter, each with the letter's place."""
-    left = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word))))
-    return left
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word))))
 
 
 def near_pairs(words: DataFrame, list_size: int = LIST) -> DataFrame:
