@@ -10,7 +10,7 @@ from strikeline.functions.scalar import expected_value, half_kelly
 from strikeline.operators import metrics as mt
 from strikeline.operators import selection as sel
 from strikeline.operators import splits
-from strikeline.operators.slicing import quantiles_long
+from strikeline.operators.radix import quantiles_long
 
 # The threshold and skip-rate grids.
 THRESHOLDS = [0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70]
@@ -54,7 +54,7 @@ def _(spark, d):
 SELECT strategy, count(*) AS n, avg(credit) AS mean_credit, median(credit) AS median_credit, stddev_samp(credit) AS std_credit, avg(pnl) AS avg_pnl, avg(y) AS win_rate, avg(credit) / nullif(abs(min(pnl)), 0) AS reward_risk FROM trades GROUP BY 1
 """, uses="trades", num="mean_credit median_credit std_credit avg_pnl win_rate reward_risk", digits=8)
 def _(spark, d):
-    from strikeline.operators.slicing import exact_quantiles
+    from strikeline.operators.radix import exact_quantiles
 
     t = base.trades(spark, d)
     med = exact_quantiles(t, ["strategy"], "credit", [0.5]).select("strategy", F.col("quantiles")[0].alias("median_credit"))

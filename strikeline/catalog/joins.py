@@ -172,7 +172,7 @@ SELECT d, event_type, tier, median(value) AS med, count(*) AS n FROM (
 WHERE tier = best GROUP BY 1, 2, 3
 """, num="med", day="d")
 def _(spark, d):
-    from strikeline.operators.slicing import exact_quantiles
+    from strikeline.operators.radix import exact_quantiles
 
     h, m = F.hour("ts"), F.minute("ts")
     tier = F.when((h == 10) & (m == 0), 0).when((h == 10) & (m <= 15), 1).when(h == 10, 2).otherwise(3).cast("long")

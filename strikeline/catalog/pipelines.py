@@ -144,7 +144,7 @@ SELECT strategy, tp, count(*) AS n, avg(target) AS win_rate, avg(pnl) AS ev, cou
 FROM outcomes GROUP BY 1, 2
 """, uses="outcomes", num="tp win_rate ev median_minutes")
 def _(spark, d):
-    from strikeline.operators.slicing import exact_quantiles
+    from strikeline.operators.radix import exact_quantiles
 
     o = outcomes(spark, d)
     mins = F.timestamp_diff("MINUTE", F.col("decision_datetime"), F.col("exit_time"))

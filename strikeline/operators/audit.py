@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.operators.slicing import exact_quantiles
+from strikeline.operators.radix import exact_quantiles
 
 
 def column_profile(df: DataFrame, cols: Sequence[str], distinct: bool = True) -> DataFrame:

@@ -110,7 +110,7 @@ def columns_under_null_rate(df: DataFrame, cols: Sequence[str], limit: float = 0
 
 def impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fill NULLs with the exact column median found by distributed order statistics."""
-    from strikeline.operators.slicing import exact_quantiles
+    from strikeline.operators.radix import exact_quantiles
 
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_p")

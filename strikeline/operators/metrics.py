@@ -9,24 +9,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strikeline.functions.scalar import div
-from strikeline.operators.slicing import exact_quantiles, exclusive_prefix, with_value_slice
+from strikeline.operators.radix import exact_quantiles, with_value_slice
+from strikeline.operators.slicing import exclusive_prefix
 
 
 def _n(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def roc_auc(df: DataFrame, keys: Sequence[str], label: str, score: str, slices: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, keys: Sequence[str], label: str, score: str, most: int = 500_000) -> DataFrame:
     """Area under the ROC curve per group, NULL when only one class is present.
 
     Scores are counted per distinct value, then negatives below each value come
-    from two-level running sums, so no group is ranked in a single task.
+    from running sums over slices of about ``most`` values, so no group is ranked in a single task.
     """
     y = F.col(label) == 1
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(
         _n(y).alias("_p"), _n(~y).alias("_q")
     )
-    ranked = exclusive_prefix(with_value_slice(counts, keys, score, slices), keys, [score], {"_below": "_q"})
+    ranked = exclusive_prefix(with_value_slice(counts, keys, score, most), keys, [score], {"_below": "_q"})
     return ranked.groupBy(*keys).agg(
         F.sum(F.col("_p") + F.col("_q")).alias("rows"), F.sum("_p").alias("positives"),
         div(F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2.0)), F.sum("_p") * F.sum("_q")).alias("auc"),

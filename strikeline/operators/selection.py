@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strikeline.functions.scalar import expected_value
-from strikeline.operators.slicing import exact_quantiles
+from strikeline.operators.radix import exact_quantiles
 
 
 def explode_levels(df: DataFrame, keep: Sequence[str], levels: Sequence[str], fields: Mapping[str, str]) -> DataFrame:

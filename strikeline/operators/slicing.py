@@ -35,22 +35,6 @@ def time_width(df: DataFrame, keys: Sequence[str], ts: str, rows: int = 500_000,
     return width
 
 
-def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, slices: int = 64, out: str = SLICE) -> DataFrame:
-    """Cut each group into value ranges of about equal row count.
-
-    The borders come from a mergeable sketch (bounded size, one row per group);
-    they only balance the work, so results do not depend on their accuracy.
-    """
-    cuts = F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000)
-    if keys:
-        bordered = null_safe_join(df, df.groupBy(*keys).agg(cuts.alias("_cuts")), keys)
-    else:
-        bordered = df.withColumn("_cuts", df.agg(cuts).scalar())
-    return bordered.withColumn(
-        out, F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)).cast("long")
-    ).drop("_cuts")
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join in which a NULL key is a key like any other, as it is in ``groupBy`` and windows."""
     names = {c: f"_r_{c}" for c in on}
@@ -124,39 +108,3 @@ def rolling_over_ticks(
     return (
         spread.withColumns(build(spec)).where(F.col("_chunk") == F.col("_own")).drop("_own", "_chunk", "_rn")
     )
-
-
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], slices: int = 64, out: str = "quantiles"
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per group as an array column.
-
-    The built-in exact percentile holds a group's distinct values in one buffer;
-    this counts distinct values first and finds the order statistics by prefix sums.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    sliced = with_value_slice(counts, keys, value, slices)
-    pos = exclusive_prefix(sliced, keys, [value], {"_before": "_n"})
-    total = F.col("_before_total")
-    cols = []
-    for i, p in enumerate(probs):
-        rank = (total - 1) * F.lit(float(p))
-        for tag, idx in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            inside = (F.col("_before") <= idx) & (idx < F.col("_before") + F.col("_n"))
-            cols.append(F.max(F.when(inside, F.col(value).cast("double"))).alias(f"_{tag}{i}"))
-    picked = pos.groupBy(*keys).agg(F.max(total).alias("_N"), *cols)
-    values = []
-    for i, p in enumerate(probs):
-        rank = (F.col("_N") - 1) * F.lit(float(p))
-        frac = rank - F.floor(rank)
-        values.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac)
-    return picked.select(*keys, F.col("_N").alias("n"), F.array(*values).alias(out))
-
-
-def quantiles_long(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str, prob_name: str) -> DataFrame:
-    """One row per group and probability."""
-    q = exact_quantiles(df, keys, value, probs, out="_q")
-    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("q"))
-    return q.select(*keys, "n", F.explode(pairs).alias("_e")).select(
-        *keys, "n", F.col("_e.p").alias(prob_name), F.col("_e.q").alias(out)
-    )

@@ -13,7 +13,8 @@ from strikeline.operators.asof import asof_join
 from strikeline.operators.barrier import first_touch
 from strikeline.operators.dedup import keep_one
 from strikeline.operators.metrics import roc_auc
-from strikeline.operators.slicing import exact_quantiles, rolling_over_ticks, row_index, with_time_slice
+from strikeline.operators.radix import exact_quantiles
+from strikeline.operators.slicing import rolling_over_ticks, row_index, with_time_slice
 
 RNG = np.random.default_rng(5)
 T0 = pd.Timestamp("2024-01-01")
@@ -67,10 +68,10 @@ def test_first_touch(spark, slice_seconds, dense):
 def test_exact_quantiles_and_median_of_one(spark):
     pdf = hot()
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    out = exact_quantiles(frame(spark, pdf), ["k"], "v", probs, slices=16).toPandas().set_index("k")
+    out = exact_quantiles(frame(spark, pdf), ["k"], "v", probs, most=40).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         assert np.allclose(out.loc[k, "quantiles"], np.quantile(g.v, probs))
-    whole = exact_quantiles(frame(spark, pdf), [], "v", probs, slices=16).first()
+    whole = exact_quantiles(frame(spark, pdf), [], "v", probs, most=40).first()
     assert np.allclose(whole["quantiles"], np.quantile(pdf.v, probs))
     one = spark.createDataFrame([(1, 3.0)], "k int, v double")
     assert exact_quantiles(one, ["k"], "v", [0.5]).first()["quantiles"] == [3.0]
@@ -80,7 +81,7 @@ def test_auc_with_ties_and_single_class(spark):
     pdf = hot()
     pdf["y"], pdf["s"] = (RNG.random(len(pdf)) < 0.4).astype(int), pdf.v.round(-1)
     pdf.loc[pdf.k == 3, "y"] = 1
-    out = roc_auc(frame(spark, pdf), ["k"], "y", "s", slices=8).toPandas().set_index("k")
+    out = roc_auc(frame(spark, pdf), ["k"], "y", "s", most=40).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         pos, neg = g[g.y == 1].s.to_numpy(), g[g.y == 0].s.to_numpy()
         if len(neg) == 0:
@@ -169,7 +170,7 @@ def test_cusum_matches_the_recursion(spark):
 def test_null_keys_are_a_group_of_their_own(spark):
     from strikeline.operators import metrics as mt
     from strikeline.operators.asof import asof_join
-    from strikeline.operators.slicing import exact_quantiles
+    from strikeline.operators.radix import exact_quantiles
 
     df = spark.createDataFrame([(k, float(v), v % 2) for k in (None, "a") for v in range(11)], "k string, v double, y int")
     got = {r.k: (r.n, list(r.q)) for r in exact_quantiles(df, ["k"], "v", [0.25, 0.5], out="q").collect()}
