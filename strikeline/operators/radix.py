@@ -25,20 +25,22 @@ FRACTION, BIAS = 1 << 52, 1023
 def with_order_bits(df: DataFrame, value: str, out: str = "_bits") -> DataFrame:
     """A long in the order of ``value`` as a double: equal for equal values (zeros too), NaN highest, NULL for NULL.
 
-    The exponent comes from a logarithm and is set right by exact powers of two, so it holds at every border.
+    The exponent comes from a logarithm and is set right where it was off by one.
     """
     x, e, f = F.col("_abs"), F.col("_exp"), F.col("_frac")
-    two, number, infinite = F.lit(2.0), F.col(value).cast("double"), F.lit((2 * BIAS + 1) * FRACTION)
+    number, infinite = F.col(value).cast("double"), F.lit((2 * BIAS + 1) * FRACTION)
     endless = F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
     out_of_range = F.when(F.isnan(number), infinite + F.lit(1)).when(endless, infinite)
     lowest, highest = F.lit(1 - BIAS).cast("long"), F.lit(BIAS).cast("long")
     bits = df.withColumn("_abs", F.when(endless, F.lit(1.0)).otherwise(F.abs(number)))
     guess = F.floor(F.log2(F.nullif(x, F.lit(0.0)))).cast("long")
     bits = bits.withColumn("_exp", F.coalesce(F.least(F.greatest(guess, lowest), highest), lowest))
-    nudged = F.when((x < F.pow(two, e)) & (e > lowest), e - 1).when((x >= F.pow(two, e + 1)) & (e < highest), e + 1).otherwise(e)
-    bits = bits.withColumn("_exp", nudged).withColumn("_frac", x / F.pow(two, e))
+    # the fraction is exact, and tells where the logarithm was off by one
+    bits = bits.withColumn("_frac", x / F.pow(F.lit(2.0), e))
+    step = F.when((f < 1) & (e > lowest), F.lit(-1)).when(f >= 2, F.lit(1)).otherwise(F.lit(0))
+    half = F.when((f < 1) & (e > lowest), f * 2).when(f >= 2, f / 2).otherwise(f)
     # below the smallest normal number the fraction has no leading one, and the sum is right as it is
-    size = F.coalesce(out_of_range, (e + F.lit(BIAS - 1)) * F.lit(FRACTION) + (f * F.lit(float(FRACTION))).cast("long"))
+    size = F.coalesce(out_of_range, (e + step + F.lit(BIAS - 1)) * F.lit(FRACTION) + (half * F.lit(float(FRACTION))).cast("long"))
     return bits.withColumn(out, F.when(F.isnan(number) | (number >= 0), size).otherwise(-size)).drop("_abs", "_exp", "_frac")
 
 
@@ -143,7 +145,7 @@ def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, most: int =
     for depth in DEPTHS:
         inside = bits if open_bins is None else _within(bits, open_bins, keys, depth - LEVEL_BITS).where(F.col("_open"))
         on = list(keys) if open_bins is None else [*keys, "_in"]
-        counts = inside.where(F.col("_bits").isNotNull()).withColumn("_bin", _bin(depth)).groupBy(*on, "_bin").agg(
+        counts = inside.where(F.col(value).isNotNull()).withColumn("_bin", _bin(depth)).groupBy(*on, "_bin").agg(
             F.count(F.lit(1)).alias("_n"), F.min("_bits").alias("_low"), F.max("_bits").alias("_high")
         )
         group = W.partitionBy(*on) if on else W.partitionBy(F.lit(0))
