@@ -277,8 +277,7 @@ def _(spark, d):
     x = base.contracts(spark, d)
     call, T, r = F.col("right") == "call", F.lit(7.0 / 365.0), F.lit(0.05)
     p = x.withColumn("price", bsm.bs_price("spot", "strike", T, r, "iv", call))
-    solve = bsm.implied_vol_udf()
-    return p.select("date", "strike", "right", solve("price", "spot", "strike", T, r, call).alias("iv"))
+    return p.select("date", "strike", "right", bsm.implied_vol("price", "spot", "strike", T, r, call).alias("iv"))
 
 
 def _price(vol: str) -> str:

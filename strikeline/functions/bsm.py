@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from strikeline.functions.scalar import ColumnLike, col, div
 
@@ -74,48 +75,77 @@ def bs_greeks(S: ColumnLike, K: ColumnLike, T: ColumnLike, r: Column, sigma: Col
     return {name: F.when(ok, e) for name, e in out.items()}
 
 
-def implied_vol_udf(low: float = 0.01, high: float = 5.0, slack: float = 0.01, steps: int = 60):
-    """Arrow-batched root search for implied volatility.
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _first_vol(price: Column, S: Column, X: Column, T: Column, is_call: Column) -> Column:
+    """Closed-form rational estimate from a price near the money; NULL where it has no real root. X is the discounted strike."""
+    call, gap = F.when(is_call, price).otherwise(price + S - X), S - X
+    over = call - gap / 2.0
+    square = over * over - gap * gap / F.pi()
+    return F.when(square >= 0, F.sqrt(2.0 * F.pi() / T) * (over + F.sqrt(square)) / (S + X))
+
+
+def implied_vol(
+    price: ColumnLike, spot: ColumnLike, strike: ColumnLike, years: ColumnLike, rate: Column, is_call: Column,
+    low: float = 0.01, high: float = 5.0, slack: float = 0.01, steps: int = 60, near: float = 1e-12,
+) -> Column:
+    """Implied volatility as one JVM expression: a rational estimate, third-order steps and a bracket around them.
 
-    Bisection over a fixed bracket runs on whole column batches. NULL where the
-    price is not positive, is at or below intrinsic value plus ``slack``, or has
-    no root inside the bracket.
+    A step that leaves the bracket, or after which the price error has not halved, is replaced by the middle of
+    the bracket, so every price ends; a row is left alone from the step that moves it by less than ``near`` on
+    (a few steps for most). NULL where an input is NULL, NaN or not positive, where the price is at or below
+    intrinsic value plus ``slack``, or where there is no root in ``[low, high]``.
     """
-    @F.pandas_udf(DoubleType())
-    def solve(price, spot, strike, years, rate, is_call):  # noqa: ANN001
-        import numpy as np
-        import pandas as pd
-
-        def cdf(x):
-            k = 1.0 / (1.0 + CDF_P * np.abs(x))
-            poly = np.zeros_like(k)
-            for b in reversed(CDF_B):
-                poly = (poly + b) * k
-            tail = np.exp(-x * x / 2.0) / np.sqrt(2.0 * np.pi) * poly
-            return np.where(x >= 0, 1.0 - tail, tail)
-
-        p, s, k, t, r = (np.asarray(c, dtype=float) for c in (price, spot, strike, years, rate))
-        sign = np.where(np.asarray(is_call, dtype=bool), 1.0, -1.0)
-        with np.errstate(all="ignore"):
-            intrinsic = np.maximum(sign * (s - k), 0.0)
-            ok = (t > 0) & (p > 0) & (p > intrinsic + slack) & (s > 0) & (k > 0)
-            safe_t, logm, disc = np.where(ok, t, 1.0), np.log(np.where(ok, s / k, 1.0)), np.exp(-r * np.where(ok, t, 1.0))
-
-            def gap(vol):
-                root = vol * np.sqrt(safe_t)
-                d1 = (logm + (r + vol * vol / 2.0) * safe_t) / root
-                value = sign * (s * cdf(np.nan_to_num(sign * d1)) - k * disc * cdf(np.nan_to_num(sign * (d1 - root))))
-                return value - p
-
-            lo, hi = np.full(len(p), low), np.full(len(p), high)
-            ok &= (gap(lo) <= 0) & (gap(hi) >= 0)
-            for _ in range(steps if ok.any() else 0):
-                mid = (lo + hi) / 2.0
-                under = gap(mid) < 0
-                lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
-        return pd.Series(np.where(ok, (lo + hi) / 2.0, np.nan))
-
-    return solve
+    p, S, K, T = (col(c).cast("double") for c in (price, spot, strike, years))
+    r, sign = rate.cast("double"), F.when(is_call, 1.0).otherwise(-1.0)
+
+    def error(at: Column, vol: Column) -> Column:
+        """Price error, its slope, and d1 times d2 at a volatility."""
+        root = vol * at["root_t"]
+        return _named(F.struct((at["logm"] / root + root / 2.0).alias("d1"), root.alias("root")), lambda d: F.struct(
+            (at["sign"] * (at["S"] * norm_cdf(at["sign"] * d["d1"]) - at["X"] * norm_cdf(at["sign"] * (d["d1"] - d["root"]))) - at["p"]).alias("g"),
+            (at["S"] * norm_pdf(d["d1"]) * at["root_t"]).alias("slope"), (d["d1"] * (d["d1"] - d["root"])).alias("dd"),
+        ))
+
+    def moved(was: Column, e: Column) -> Column:
+        """State after a step from ``was`` with the errors ``e`` at its volatility."""
+        under, vol = e["g"] < 0, was["vol"]
+        lo, hi = F.when(under, vol).otherwise(was["lo"]), F.when(under, was["hi"]).otherwise(vol)
+        newton = F.try_divide(e["g"], e["slope"])
+        third = vol - F.try_divide(newton, F.lit(1.0) - newton * e["dd"] / (vol * 2.0))
+        slow = F.abs(e["g"]) * 2.0 > was["g"]
+
+        def placed(x: Column) -> Column:
+            inside = (third > x["lo"]) & (third < x["hi"]) & ~slow & ~F.isnan(third)
+            goal = F.when(F.coalesce(inside, F.lit(False)), third).otherwise((x["lo"] + x["hi"]) / 2.0)
+            return _named(goal, lambda v: F.struct(
+                x["lo"].alias("lo"), x["hi"].alias("hi"), F.when(e["g"] == 0, vol).otherwise(v).alias("vol"), F.abs(e["g"]).alias("g"),
+                ((e["g"] == 0) | (F.abs(v - vol) <= near)).alias("done"),
+            ))
+
+        return _named(F.struct(lo.alias("lo"), hi.alias("hi")), placed)
+
+    def search(at: Column) -> Column:
+        first = F.least(F.greatest(F.coalesce(at["first"], F.lit((low * high) ** 0.5)), F.lit(low)), F.lit(high))
+        start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), first.alias("vol"), F.lit(float("inf")).alias("g"), F.lit(False).alias("done"))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda was, _: F.when(was["done"], was).otherwise(
+            _named(error(at, was["vol"]), lambda e: moved(was, e))
+        ))
+        bounded = (error(at, F.lit(low))["g"] <= 0) & (error(at, F.lit(high))["g"] >= 0)
+        return F.when(bounded, end["vol"])
+
+    usable = _usable(p, S, K, T) & (p > F.greatest(sign * (S - K), F.lit(0.0)) + slack)
+    for c in (p, S, K, T, r):
+        usable = usable & ~F.isnan(c)
+    X = K * F.exp(-r * T)
+    at = F.struct(
+        p.alias("p"), S.alias("S"), X.alias("X"), F.sqrt(T).alias("root_t"), F.ln(F.try_divide(S, X)).alias("logm"), sign.alias("sign"),
+        _first_vol(p, S, X, F.nullif(T, F.lit(0.0)), is_call).alias("first"),
+    )
+    return F.when(usable & is_call.isNotNull(), _named(at, search))
 
 
 def lognormal_strikes(spot: ColumnLike, vix: ColumnLike, z: float = 1.036, years: float = 1.0 / 252.0) -> dict[str, Column]:

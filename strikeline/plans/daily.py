@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.functions.bsm import implied_vol_udf
+from strikeline.functions.bsm import implied_vol
 from strikeline.functions.scalar import div_pos, minute_of_day, side_of
 from strikeline.operators import indicators as ind
 from strikeline.operators.bars import last_known, roll_up
@@ -18,7 +18,7 @@ def tenor_iv(ts: DataFrame, keys: Sequence[str], targets: dict[str, int], spread
     """ATM volatility per tenor bucket: nearest moneyness per side, inverted, averaged.
 
     One pick per key, tenor and side comes from an aggregate; the root search then
-    runs on those few rows as one Arrow-batched column.
+    runs on those few rows as one column expression.
     """
     side = side_of("right")
     picks: list[Column] = []
@@ -31,8 +31,7 @@ def tenor_iv(ts: DataFrame, keys: Sequence[str], targets: dict[str, int], spread
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("side"), F.col(f"`{n}|{s}`").alias("p")) for n in targets for s in ("call", "put")]))
     x = one.select(*keys, "_spot", rows.alias("_r")).where(F.col("_r.p").isNotNull())
     years = F.greatest(F.col("_r.p.dte") / 365.0, F.lit(1.0 / (365.0 * 24.0)))
-    solve = implied_vol_udf()
-    iv = solve(F.col("_r.p.mid"), F.col("_spot"), F.col("_r.p.strike"), years, F.lit(rate), F.col("_r.side") == "call")
+    iv = implied_vol(F.col("_r.p.mid"), F.col("_spot"), F.col("_r.p.strike"), years, F.lit(rate), F.col("_r.side") == "call")
     y = x.select(*keys, F.col("_r.name").alias("_n"), iv.alias("_iv")).where((F.col("_iv") > 0.01) & (F.col("_iv") < 3.0))
     return y.groupBy(*keys).agg(*[F.avg(F.when(F.col("_n") == n, F.col("_iv"))).alias(n) for n in targets])
 

@@ -108,12 +108,12 @@ def exact_price(s, k, t, r, v, call):
 def test_black_scholes_parity_and_inversion(spark):
     rows = [(5000.0, 4800.0 + 50 * i, 7 / 365, 0.05, 0.15 + 0.02 * i, c) for i in range(9) for c in (True, False)]
     df = spark.createDataFrame([(*r, exact_price(*r)) for r in rows], "s double, k double, t double, r double, v double, c boolean, p double")
-    out = df.select("*", bsm.bs_price("s", "k", "t", F.col("r"), "v", F.col("c")).alias("mine"), bsm.implied_vol_udf()("p", "s", "k", "t", "r", "c").alias("iv")).collect()
+    out = df.select("*", bsm.bs_price("s", "k", "t", F.col("r"), "v", F.col("c")).alias("mine"), bsm.implied_vol("p", "s", "k", "t", F.col("r"), F.col("c")).alias("iv")).collect()
     for r in out:
         assert r.mine == pytest.approx(r.p, abs=2e-3)
         assert r.iv == pytest.approx(r.v, abs=1e-4)
     bad = spark.createDataFrame([(0.0, 1.0), (100.005, 0.0), (1e6, 1.0)], "p double, x double")
-    null = bad.select(bsm.implied_vol_udf()("p", F.lit(5000.0), F.lit(4900.0), F.lit(0.1), F.lit(0.0), F.lit(True)).alias("iv")).collect()
+    null = bad.select(bsm.implied_vol("p", F.lit(5000.0), F.lit(4900.0), F.lit(0.1), F.lit(0.0), F.lit(True)).alias("iv")).collect()
     assert all(r.iv is None for r in null)
 
 
