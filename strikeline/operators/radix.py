@@ -153,13 +153,16 @@ def with_value_slice(df: DataFrame, keys: Sequence[str], value: str, most: int =
         counts = counts.withColumn("_share", share)
         first = F.min("_bin").over(W.partitionBy(*on, "_share"))
         full = (F.col("_n") > most) & (F.col("_low") < F.col("_high"))
-        level = counts.select(*keys, F.col("_bin").alias(f"_bin{depth}"), first.alias(f"_slice{depth}"), full.alias("_open"))
+        level = counts.select(*keys, F.col("_bin").alias(f"_bin{depth}"), first.alias(f"_slice{depth}"), full.alias("_open"), "_share")
         level = settle(level, "slices")
-        bits = null_safe_join(bits.withColumn(f"_bin{depth}", _bin(depth)), level.drop("_open"), [*keys, f"_bin{depth}"]).drop(f"_bin{depth}")
+        split, deeper = level.agg(F.max(F.col("_share") > 0), F.max("_open")).first()
+        if slices is None and not split and not deeper:
+            return df.withColumn(out, F.when(F.col(value).isNotNull(), F.lit(0).cast("long")))  # every group fits a slice
+        bits = null_safe_join(bits.withColumn(f"_bin{depth}", _bin(depth)), level.drop("_open", "_share"), [*keys, f"_bin{depth}"]).drop(f"_bin{depth}")
         # a slice number that an opened bin shares with its lower neighbours is replaced one level down
         slices = F.col(f"_slice{depth}") if slices is None else F.coalesce(F.col(f"_slice{depth}"), slices)
         open_bins = level.where("_open").select(*keys, F.col(f"_bin{depth}").alias("_in"), "_open")
-        if open_bins.isEmpty():
+        if not deeper:
             break
     made = [f"_slice{d}" for d in DEPTHS if f"_slice{d}" in bits.columns]
     return bits.withColumn(out, slices).drop("_bits", *[c for c in made if c != out])
