@@ -1,22 +1,26 @@
 """Licence scan with a positional index of licence words.
 
 Texts become words (runs of ASCII letters and digits and of any other character beyond
-ASCII; A-Z in lower case). Licence notices are kept as templates; the index lists the
-places of their words. Each file that holds the mandatory phrases of one is looked up by
-all of these words that it has: every hit gives, for every place of the word in a
-template, the offset at which that template would start in the file. A template whose
-words agree on one offset is a candidate, and holds if the mandatory phrases stand in
-the words that it covers there.
-
-Only DataFrame functions are used. A file stays one row; only the hits of files that have
-such phrases are exploded.
+ASCII; A-Z in lower case). Licence notices are kept as templates, and phrases that count
+wherever they stand as templates that must agree whole. The index lists the places of
+their words, each with the number of files that hold the word: the fewer, the higher its
+IDF. A file ranks its licence words by that. It must hold all words of a template's
+mandatory phrases, and those of at least t places where t must agree; of the m places whose
+words it holds, an offset that reaches t misses at most m - t, so the rarest m - t + 1 hold
+one that it hits. Only these are looked up: every hit gives the offset at which the template
+would start in the file. There the other words are counted, and the template holds if enough
+agree on the offset and the mandatory phrases stand in the words that it covers.
+
+Only DataFrame functions are used. A file stays one row; nothing is shuffled but counts of
+licence words.
 """
 
 from __future__ import annotations
 
-import re
+import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.llm.common import ref, text_of
@@ -61,86 +65,90 @@ def words_line(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(plain, GAPS, " ")))
 
 
-def places(phrase: str) -> Column:
-    """Numbers of the ``words`` at which a phrase starts, overlaps included."""
-    parts = phrase.split()
-    starts = F.filter(F.sequence(F.lit(0), F.size("words") - len(parts)), lambda i: _stands(i, parts))
-    return F.when(F.size("words") >= len(parts), starts).otherwise(F.array().cast("array<int>"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row; lambdas inside would evaluate an expression for every element."""
+    return F.transform(F.array(value), body)[0]
 
 
-def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few constant rows, made of literals."""
-    items = [F.struct(*map(F.lit, r)) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*items).cast("array<struct<" + re.sub(r"(\w+) (\w+)", r"\1:\2", schema) + ">>")))
+def index_of(notices: list[tuple[list[str], float | None]], files_with: dict[str, int]) -> list[tuple[int, list[tuple[str, int]]]]:
+    """Per notice (words, share that must agree) the least agreeing places and its postings, rarest word first.
 
-
-def _stands(i: Column, parts: list[str]) -> Column:
-    out = F.lit(True)
-    for k, p in enumerate(parts):
-        out = out & (F.get("words", i + k) == p)
+    Words that no file holds cannot be hit and do not count. Without a share the whole notice must agree, these words too.
+    """
+    out = []
+    for words, agree in notices:
+        postings = sorted(((w, i) for i, w in enumerate(words) if w in files_with), key=lambda x: (files_with[x[0]], x))
+        out.append((len(words) if agree is None else math.ceil(max(1.0, agree * len(postings))), postings))
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, templates: list[tuple[str, str, list[str]]] | None = None, agree: float = 0.6) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``: one row per document.
 
-    Each file that holds the mandatory phrases of a template is looked up by all its licence words. A template is a candidate where the hits at one offset cover at least ``agree`` of its
+    Each file is looked up by its rarest licence words, as many as decide every template. A template is a candidate where the words at one offset agree on at least ``agree`` of its
     places that could be hit. ``score`` is 1 with a base label, else the best such share among the labels given, else 0.
 
     Null text is empty: no words, no labels (empty strings), null first and last word. Repeated rows and null ids
     are kept. Other columns are not read. Without rows the result is empty.
     """
     base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
-    spark = docs.sparkSession
-    known = sorted({w for _, t, _ in templates for w in t.split()})
+    notices = [*[(label, t.split(), phrases, agree) for label, t, phrases in templates], *[(label, p.split(), [], None) for p, label in base.items()]]
+    known = sorted({w for _, words, phrases, _ in notices for w in [*words, *" ".join(phrases).split()]})
     lines = docs.select(ref(id_col).alias("doc_id"), words_line(text_of(text_col)).alias("line"))
     split = F.split("line", " ")
+    own = F.array_intersect(split, F.array(*map(F.lit, known)))
+    files_with = {r.w: r.n for r in lines.select(F.explode(own).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per licence word
+
+    empty = {"asks": F.array().cast("array<struct<k:int,w:string,place:int>>"), "found": F.array().cast("array<struct<k:int,start:int,n:int>>")}
+    postings = index_of([(words, share) for _, words, _, share in notices], files_with)
+
+    def must(words: list[str], phrases: list[str], share: float | None) -> list[str]:
+        """Words without which a notice cannot hold, rarest first."""
+        return sorted(set(words if share is None else " ".join(phrases).split()), key=lambda w: (files_with.get(w, 0), w))
+
+    items = [F.struct(F.lit(k).alias("k"), F.lit(need).alias("need"), F.lit(len(words)).alias("span"), F.array(*[F.lit(f" {p} ") for p in phrases]).cast("array<string>").alias("phrases"), F.array(*map(F.lit, must(words, phrases, share))).cast("array<string>").alias("must"), F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("place")) for w, i in at]).alias("at"))
+             for k, ((need, at), (_, words, phrases, share)) in enumerate(zip(postings, notices)) if at]
+    index = F.array(*items)
+
+    def asked(have: Column) -> Column:
+        """Postings to look up: of every notice that the file's words can reach, the rarest, until it is decided."""
+        possible = F.filter(index, lambda t: F.forall(t["must"], lambda w: F.array_contains(have, w)))
+        held = F.transform(possible, lambda t: F.struct(t["k"].alias("k"), t["need"].alias("need"), F.filter(t["at"], lambda x: F.array_contains(have, x["w"])).alias("at")))
+        within = F.filter(held, lambda t: F.size(t["at"]) >= t["need"])
+        return F.flatten(F.transform(within, lambda t: F.transform(F.slice(t["at"], F.lit(1), F.size(t["at"]) - t["need"] + 1), lambda x: F.struct(t["k"].alias("k"), x["w"].alias("w"), x["place"].alias("place")))))
 
-    seen = {r.w for r in lines.select(F.explode(F.array_intersect(split, F.array(*map(F.lit, known)))).alias("w")).distinct().collect()}  # a row per licence word
-    rare = [w for w in known if w in seen]
-
-    # The words stay only for files that have something to look up: a phrase, or all those without which a template does not hold. They are written first: a lambda
-    # over an expression would evaluate it for every element.
-    padded = F.concat(F.lit(" "), "line", F.lit(" "))
-    wanted = F.lit(False)
-    for needed in [*([p] for p in base), *(phrases for _, _, phrases in templates)]:
-        every = F.lit(True)
-        for p in needed:
-            every = every & F.contains(padded, F.lit(f" {p} "))
-        wanted = wanted | every
+    # The words stay only for files that have something to look up. They are written first.
     n_words = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    files = settle(lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.cast("long").alias("n_words"), F.when(wanted, split).alias("words")), "files")
-
-    phrase_at = {p: f"at{i}" for i, p in enumerate(base)}
-    some = files.where(F.col("words").isNotNull())
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(rare)) if rare else F.array().cast("array<struct<w:string,i:int>>")
-    some = settle(some.select("row", "words", hits.alias("hits"), *[places(p).alias(at) for p, at in phrase_at.items()]), "looked-up")
-
-    index = [(k, w, i) for k, (_, t, _) in enumerate(templates) for i, w in enumerate(t.split()) if w in rare]
-    reach = {k: sum(1 for x in index if x[0] == k) for k in range(len(templates))}
-    postings = rows_of(spark, index, "template int, w string, place int")
-    facts = rows_of(spark, [(k, label, len(t.split()), reach[k]) for k, (label, t, _) in enumerate(templates)], "template int, label string, span int, reach int")
-    found = some.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", F.col("h.w").alias("w"), F.col("h.i").alias("i"))
-    offsets = found.join(F.broadcast(postings), "w").groupBy("row", "template", (F.col("i") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    likely = offsets.join(F.broadcast(facts), "template").where(F.col("n") >= F.greatest(F.lit(1.0), agree * F.col("reach")))
-    at = likely.join(some.select("row", "words"), "row")
-    covered = F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("span") + F.least(F.col("start"), F.lit(0))), " "), F.lit(" "))
-    holds = F.lit(False)
-    for k, (_, _, phrases) in enumerate(templates):
-        ok = F.col("template") == k
-        for p in phrases:
-            ok = ok & F.contains("covered", F.lit(f" {p} "))
-        holds = holds | ok
-    named = at.where(F.col("start") + F.col("span") > 0).withColumn("covered", covered).where(holds)
-    own = named.groupBy("row").agg(F.collect_set("label").alias("own"), F.max(F.least(F.lit(1.0), F.col("n") / F.col("reach"))).alias("share"))  # at most one entry per label
-
-    starts = F.concat(*[F.col(at) for at in phrase_at.values()])
-    labels = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(phrase_at[p]) > 0, F.lit(label)) for p, label in base.items()]), lambda x: x.isNotNull())))
-    marked = some.select("row", starts.alias("starts"), labels.alias("base")).join(own, "row", "left")
-    marked = files.drop("words").join(marked, "row", "left")
-    out = marked.withColumn("starts", F.coalesce("starts", F.array().cast("array<int>"))).withColumn("base", F.coalesce("base", F.array().cast("array<string>")))
-    return out.select(
-        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
-        F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).cast("double").alias("score"),
+    files = lines.select("doc_id", n_words.cast("long").alias("n_words"), "line", (let(own, asked) if items else empty["asks"]).alias("asks"))
+    files = settle(files.select("doc_id", "n_words", F.when(F.size("asks") > 0, split).alias("words"), F.when(F.size("asks") > 0, F.col("asks")).alias("asks"), F.array_distinct("asks.w").alias("sought")), "files")
+
+    # An offset of a notice is one long, since structs are made distinct pair by pair.
+    low = F.lit(1 << 31)
+    code = lambda a, h: F.shiftleft(a["k"].cast("long"), 32) + h["i"] - a["place"] + low
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains("sought", h["w"]))
+    offsets = let(hits, lambda hs: F.array_distinct(F.flatten(F.transform("asks", lambda a: F.transform(F.filter(hs, lambda h: h["w"] == a["w"]), lambda h: code(a, h))))))
+    by_k = F.map_from_entries(F.transform(index, lambda t: F.struct(t["k"], t)))
+
+    def counted(c: Column) -> Column:
+        k, start = F.shiftright(c, 32).cast("int"), (F.pmod(c, F.lit(1 << 32)) - low).cast("int")
+        agreeing = F.filter(by_k[k]["at"], lambda x: F.get("words", start + x["place"]) == x["w"])
+        return F.struct(k.alias("k"), start.alias("start"), F.size(agreeing).alias("n"))
+
+    def holds(x: Column) -> Column:
+        covered = F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest(x["start"], F.lit(0)) + 1, by_k[x["k"]]["span"] + F.least(x["start"], F.lit(0))), " "), F.lit(" "))
+        return (x["n"] >= by_k[x["k"]]["need"]) & let(covered, lambda text: F.forall(by_k[x["k"]]["phrases"], lambda p: F.contains(text, p)))
+
+    found = F.filter(F.transform(offsets, counted), holds) if items else empty["found"]
+    marked = settle(files.select("doc_id", "n_words", F.when(F.col("asks").isNotNull(), found).alias("found")), "found").withColumn("found", F.coalesce("found", empty["found"]))
+
+    first = len(templates)  # the base phrases come last
+    names = F.array(*[F.lit(label) for label, *_ in notices]).cast("array<string>")
+    reach = F.array(*[F.lit(len(at)) for _, at in postings]).cast("array<int>")
+    labels = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda x: names[x["k"]]))), ",")
+    based = F.filter("found", lambda x: x["k"] >= first)
+    starts = F.transform(based, lambda x: x["start"])
+    return marked.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        labels(based).alias("base_labels"), labels(F.col("found")).alias("labels"),
+        F.when(F.size(starts) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: F.least(F.lit(1.0), x["n"] / reach[x["k"]]))), F.lit(0.0))).cast("double").alias("score"),
     )

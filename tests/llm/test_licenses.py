@@ -62,3 +62,33 @@ def test_a_file_with_many_licences_gets_every_label(spark):
     own = [(label, t) for label, t, phrases in licenses.TEMPLATES if label != "lgpl-3"]
     got = licenses.scan(docs_frame(spark, [" ".join(f"{t} xx{k}" for k, (_, t) in enumerate(own)), *[" ".join(prose(50, i)) for i in range(60)]])).orderBy("doc_id").first()
     assert got.labels.split(",") == sorted({label for label, _ in own})
+
+
+def test_postings_are_ranked_by_files_and_words_that_no_file_holds_do_not_count():
+    (need, at), (whole, rest) = licenses.index_of([("a b c a d".split(), 0.6), ("a d".split(), None)], {"a": 9, "b": 2, "c": 5})
+    assert (need, [i for _, i in at]) == (3, [1, 2, 0, 3])
+    assert whole == 2 > len(rest)
+
+
+def test_rarest_first_gives_every_template_that_counting_all_words_gives(spark):
+    import random
+
+    rng, templates = random.Random(3), [("x", "a b c d e f a b", ["c d"]), ("y", "a b a b a", ["a b"]), ("z", "g h a", []), ("w", "g q q q", [])]
+    texts = [" ".join(rng.choices("abcdefgh", [9, 6, 3, 2, 2, 2, 1, 1], k=rng.randrange(30))) for _ in range(150)]
+    seen = {w for t in texts for w in t.split()}
+
+    def expected(text):
+        words, best = text.split(), {}
+        for label, t, phrases in templates:
+            t, reach = t.split(), sum(w in seen for w in t.split())
+            for start in range(-len(t), len(words)):
+                n = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t))
+                covered = " " + " ".join(words[max(start, 0) : start + len(t)]) + " "
+                if n >= max(1.0, 0.6 * reach) and all(f" {p} " in covered for p in phrases):
+                    best[label] = max(best.get(label, 0), min(1.0, n / reach))
+        return ",".join(sorted(best)), max(best.values(), default=0.0)
+
+    got = licenses.scan(docs_frame(spark, texts), base={"a b a": "u"}, templates=templates).orderBy("doc_id").collect()
+    base = [sum(t.split()[i : i + 3] == ["a", "b", "a"] for i in range(30)) for t in texts]
+    assert [r.n_base for r in got] == base
+    assert [(",".join(x for x in r.labels.split(",") if x != "u"), r.score) for r in got] == [(e[0], 1.0 if n else e[1]) for e, n in zip(map(expected, texts), base)]
