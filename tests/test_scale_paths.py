@@ -245,3 +245,22 @@ def test_upsert_touches_only_the_partitions_of_new_rows(spark, tmp_path):
     assert len(rows) == got.count() == 41 and rows[5] == 3 and rows[101] == 9 and rows[9] == 1
     after = {p: sorted(os.listdir(f"{path}/part={p}")) for p in range(4)}
     assert [p for p in range(4) if before[p] != after[p]] == [1]
+
+
+def _with_shuffled_joins(spark, build):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_splits_and_folds_send_the_calendar_to_the_rows(spark):
+    from strikeline.operators import splits
+
+    x = spark.range(400).select(F.expr("date_add(DATE'2020-01-01', CAST(id % 100 AS INT))").alias("date"), "id")
+    for build in (
+        lambda: splits.three_way_split(x, "date", 0.5, 7), lambda: splits.walk_forward_folds(x, "date", 2, 50),
+        lambda: splits.last_dates(x, "date", 9), lambda: splits.last_share(x, "date", 0.2),
+    ):
+        assert "SortMergeJoin" not in _with_shuffled_joins(spark, build)
