@@ -264,3 +264,11 @@ def test_splits_and_folds_send_the_calendar_to_the_rows(spark):
         lambda: splits.last_dates(x, "date", 9), lambda: splits.last_share(x, "date", 0.2),
     ):
         assert "SortMergeJoin" not in _with_shuffled_joins(spark, build)
+
+
+def test_quantiles_are_sent_to_the_rows(spark):
+    from strikeline.operators import audit, metrics
+
+    x = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    for build in (lambda: metrics.skip_rate_sweep(x, ["k"], "y", "v", "v", [0.1, 0.5]), lambda: audit.outlier_counts(x, ["v", "y"])):
+        assert "BroadcastHashJoin" in _with_shuffled_joins(spark, build)
