@@ -88,11 +88,11 @@ def rows_per_month(df: DataFrame, date: str) -> DataFrame:
 
 
 def outlier_counts(df: DataFrame, cols: Sequence[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
-    """Rows beyond the extreme quantiles of each column."""
+    """Rows beyond the extreme quantiles of each column; the quantiles, a row per column, are sent to the rows."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_p")).select("_p.*")
     long = long.where(F.col("v").isNotNull())
     q = exact_quantiles(long, ["feature"], "v", [low, high]).select("feature", F.col("quantiles")[0].alias("q_low"), F.col("quantiles")[1].alias("q_high"))
-    return long.join(q, "feature").groupBy("feature").agg(
+    return long.join(F.broadcast(q), "feature").groupBy("feature").agg(
         F.max("q_low").alias("q_low"), F.max("q_high").alias("q_high"),
         F.count_if(F.col("v") < F.col("q_low")).alias("below"), F.count_if(F.col("v") > F.col("q_high")).alias("above"),
     )
