@@ -272,3 +272,13 @@ def test_quantiles_are_sent_to_the_rows(spark):
     x = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"), (F.col("id") % 3 == 0).cast("int").alias("y"))
     for build in (lambda: metrics.skip_rate_sweep(x, ["k"], "y", "v", "v", [0.1, 0.5]), lambda: audit.outlier_counts(x, ["v", "y"])):
         assert "BroadcastHashJoin" in _with_shuffled_joins(spark, build)
+
+
+def test_rows_of_large_partitions_are_dealt_out_before_a_fit(spark):
+    from strikeline.ml import models
+
+    x = spark.range(0, 1000, 1, 2).select("id")
+    assert models.in_small_tasks(x, 600).rdd.getNumPartitions() == 2
+    y = models.in_small_tasks(x, 100)
+    assert y.rdd.getNumPartitions() == 10 and y.distinct().count() == 1000
+    assert max(len(p) for p in y.rdd.glom().collect()) < 200
