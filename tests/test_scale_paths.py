@@ -282,3 +282,16 @@ def test_rows_of_large_partitions_are_dealt_out_before_a_fit(spark):
     y = models.in_small_tasks(x, 100)
     assert y.rdd.getNumPartitions() == 10 and y.distinct().count() == 1000
     assert max(len(p) for p in y.rdd.glom().collect()) < 200
+
+
+def test_permutation_writes_scores_and_not_rows(spark, monkeypatch):
+    from strikeline.ml import models
+
+    x = spark.range(4000).select((F.col("id") * 7919 % 1000).cast("double").alias("a"), (F.col("id") * 104729 % 997).cast("double").alias("b"), "id")
+    x = x.withColumn("y", (F.col("a") > 500).cast("int"))
+    m = models.fit_classifier(x, ["a", "b"], "y", maxIter=2, maxDepth=2)
+    written, settle = [], models.settle
+    monkeypatch.setattr(models, "settle", lambda df, label: written.append(df.columns) or settle(df, label))
+    drops = {r.feature: r.auc_drop for r in models.permutation_importance(x, m, ["a", "b"], "y").collect()}
+    assert written == [["which", "prob", "label", "n"]]
+    assert drops["a"] > 0.3 and abs(drops["b"]) < 0.01
