@@ -10,14 +10,19 @@ from strikeline.operators import scan
 from strikeline.operators.picks import non_overlapping_sliced
 from strikeline.operators.ranks import rank_over_ticks
 from strikeline.operators.reach import first_touch_far
-from strikeline.operators.slicing import with_time_slice
+from strikeline.operators.slicing import time_width, with_time_slice
 from strikeline.operators.windows import span
 
+SLICE_ROWS = 4_000  # windows keep so many in memory; above 4,096 each takes pages of a sorter
+
 
 def _events(spark, d):
-    """Events in daily slices, ordered by (time, id) as one column."""
+    """Events in slices of a day, or narrower where a day holds more rows, ordered by (time, id) as one column.
+
+    The windows of a slice buffer it once each, so its rows set the memory of a task.
+    """
     e = base.table(spark, d, "events").select("event_id", "event_type", "ts", "value", F.struct("ts", "event_id").alias("at"))
-    return with_time_slice(e, "ts", 86_400)
+    return with_time_slice(e, "ts", time_width(e, ["event_type"], "ts", rows=SLICE_ROWS))
 
 
 _PAST = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"

@@ -295,3 +295,10 @@ def test_permutation_writes_scores_and_not_rows(spark, monkeypatch):
     drops = {r.feature: r.auc_drop for r in models.permutation_importance(x, m, ["a", "b"], "y").collect()}
     assert written == [["which", "prob", "label", "n"]]
     assert drops["a"] > 0.3 and abs(drops["b"]) < 0.01
+
+
+def test_slices_of_ticks_hold_few_rows(spark, tmp_path):
+    from strikeline.catalog import ticks
+
+    spark.range(20_000).select(F.col("id").alias("event_id"), F.lit("a").alias("event_type"), F.timestamp_seconds(F.col("id") * 4).alias("ts"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    assert ticks._events(spark, str(tmp_path)).groupBy("_slice").count().agg(F.max("count")).first()[0] <= 4_000
