@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from strikeline.functions.scalar import epoch_seconds
 from strikeline.operators.asof import asof_join
+from strikeline.operators.slicing import time_width
 from strikeline.plans.tables import settle
 
 ROUNDS = 4  # halvings in one plan before it is written
+SLICE_POINTS = 32  # points of the busiest slice of a path, as counted over slices of full width
 
 
 def range_extremes(slices: DataFrame, on: Sequence[str], top: int) -> DataFrame:
@@ -42,18 +44,21 @@ def covering(first: Column, stop: Column, top: int) -> Column:
 
 def first_touch_far(
     entries: DataFrame, path: DataFrame, on: Sequence[str], key: Sequence[str], entry_time: str, end_time: str,
-    path_time: str, value: str, levels: Sequence[tuple[str, str, str]], slice_seconds: int,
+    path_time: str, value: str, levels: Sequence[tuple[str, str, str]], slice_seconds: int, most: int = SLICE_POINTS,
 ) -> DataFrame:
     """``barrier.first_touch`` for horizons of any number of slices; same arguments, same result.
 
-    ``slice_seconds`` sets how many points are opened per entry and level (one slice) and how many extremes are kept. Path points of
+    One slice of points is opened per entry and level, and both border slices. Slices are ``slice_seconds`` wide, or narrower (to a second)
+    where the busiest would hold more than ``most`` points, so that the points opened grow with the entries and not with their density. Path points of
     equal key and time: the one of the smaller value comes first, the larger is the last value. The number of sizes comes from the
     first and last slice of the path.
     """
     if {op for _, op, _ in levels} - {">=", "<="}:
         raise ValueError("levels use >= or <=")
-    slot = lambda c: F.floor(epoch_seconds(c) / slice_seconds).cast("long")
-    points = path.where(F.col(value).isNotNull()).select(*on, F.col(path_time).alias("_t"), F.col(value).alias("_v"), slot(path_time).alias("_s"))
+    valued = path.where(F.col(value).isNotNull())
+    width = time_width(valued, on, path_time, most, slice_seconds)
+    slot = lambda c: F.floor(epoch_seconds(c) / width).cast("long")
+    points = valued.select(*on, F.col(path_time).alias("_t"), F.col(value).alias("_v"), slot(path_time).alias("_s"))
     slices = settle(points.groupBy(*on, "_s").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "extremes")
     asked = entries.where(F.col(end_time) > F.col(entry_time)).select(
         *dict.fromkeys([*on, *key]), F.col(entry_time).alias("_a"), F.col(end_time).alias("_z"), *[F.col(c).alias(f"_lv_{n}") for n, _, c in levels])

@@ -52,3 +52,18 @@ def test_no_path_no_entries(spark):
     lv = [("up", ">=", "up")]
     assert first_touch_far(e, p, ["k"], ["eid"], "t", "z", "t", "v", lv, 60).count() == 0
     assert first_touch_far(e.limit(0), p, ["k"], ["eid"], "t", "z", "t", "v", lv, 60).count() == 0
+
+
+def test_slices_get_narrower_where_points_are_dense_and_races_stay_the_same(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strikeline.operators import reach
+
+    p = spark.range(3000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") % 600).alias("t"), (F.col("id") * 37 % 1000).cast("double").alias("v"))
+    e = p.where("v < 50").select("k", F.monotonically_increasing_id().alias("eid"), "t", (F.col("v") + 900).alias("up"), (F.col("t") + F.expr("INTERVAL 5 MINUTES")).alias("z"))
+    args = (e, p, ["k"], ["eid"], "t", "z", "t", "v", [("up", ">=", "up")], 120)
+    widths, width_of = [], reach.time_width
+    monkeypatch.setattr(reach, "time_width", lambda *a: widths.append(width_of(*a)) or widths[-1])
+    narrow, wide = (sorted(map(str, first_touch_far(*args, most).collect())) for most in (32, 10**9))
+    assert narrow == wide and len(narrow) == e.count()
+    assert widths[0] * 5 <= 2 * 32 and widths[1] == 120
